@@ -40,4 +40,9 @@ def sum_or_zero(col: Column) -> Column:
 
 
 def mean_sd_text(mean: Column, sd: Column) -> Column:
-    return F.format_string("%.2f (%.2f)", mean, sd)
+    """``12.34 (5.67)``; a part that is unknown reads ``nan``."""
+
+    def text(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.format_string("%.2f", value)).otherwise(F.lit("nan"))
+
+    return F.concat(text(mean), F.lit(" ("), text(sd), F.lit(")"))

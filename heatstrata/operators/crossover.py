@@ -168,7 +168,7 @@ def add_overall_level(
 # Score and information of the conditional likelihood at the log odds ratio {b}, over all
 # patterns of a model. n1 e^b / (n0 + n1 e^b) is the probability that the case day is exposed.
 _DERIVATIVES = """aggregate(
-    _cells, named_struct('score', 0D, 'information', 0D),
+    cells, named_struct('score', 0D, 'information', 0D),
     (t, c) -> named_struct(
         'score', t.score + c.w * (c.xc - c.n1 * exp({b}) / (c.n0 + c.n1 * exp({b}))),
         'information', t.information + c.w * c.n1 * exp({b}) * c.n0 / power(c.n0 + c.n1 * exp({b}), 2)))"""
@@ -186,11 +186,14 @@ _STEP = f"""transform(
             'low', r.low,
             'high', r.high))[0])[0]"""
 
-_ESTIMATE = f"""aggregate(
-    sequence(1, {NEWTON_STEPS}),
-    named_struct('b', 0D, 'low', double(-{FARTHEST_ESTIMATE}), 'high', double({FARTHEST_ESTIMATE})),
-    (s, i) -> {_STEP},
-    s -> s.b)"""
+# Estimate and information of a model, as an array of one struct.
+_SOLUTION = f"""transform(
+    array(_cells),
+    cells -> aggregate(
+        sequence(1, {NEWTON_STEPS}),
+        named_struct('b', 0D, 'low', double(-{FARTHEST_ESTIMATE}), 'high', double({FARTHEST_ESTIMATE})),
+        (s, i) -> {_STEP},
+        s -> named_struct('estimate', s.b, 'information', ({_DERIVATIVES.format(b="s.b")}).information)))"""
 
 
 def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
@@ -200,25 +203,28 @@ def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
     days are all exposed or all unexposed carry no information. If nothing is informative, or the
     case day is always (or never) the exposed one, no finite estimate exists: the estimate is null
     and ``converged`` is false.
+
+    The solution is unpacked with a generator. The optimizer moves no filter on a result column
+    below a generator, so the iterations are never repeated inside such a filter.
     """
     informative = "n1 > 0 AND n0 > 0"
-    cell = f"struct(double(xc) AS xc, double(n1) AS n1, double(n0) AS n0, double(`{weight}`) AS w)"
+    cell = "struct(double(xc) AS xc, double(n1) AS n1, double(n0) AS n0, w)"
     models = (
-        patterns.where(f"`{weight}` > 0")
+        patterns.withColumn("w", F.expr(f"double(`{weight}`)"))
+        .where("w > 0")
         .groupBy(*by)
         .agg(
             F.expr(f"array_sort(collect_list({cell}) FILTER (WHERE {informative})) AS _cells"),
-            F.expr(f"sum(double(`{weight}`)) AS n_cases"),
-            F.expr(f"coalesce(sum(double(`{weight}`)) FILTER (WHERE {informative}), 0D) AS n_informative"),
-            F.expr(f"coalesce(sum(double(`{weight}`)) FILTER (WHERE {informative} AND xc = 1), 0D) AS _exposed"),
+            F.expr("sum(w) AS n_cases"),
+            F.expr(f"coalesce(sum(w) FILTER (WHERE {informative}), 0D) AS n_informative"),
+            F.expr(f"coalesce(sum(w) FILTER (WHERE {informative} AND xc = 1), 0D) AS _exposed"),
         )
         .withColumn("converged", F.expr("_exposed > 0 AND _exposed < n_informative"))
     )
-    estimated = models.withColumn("estimate", F.expr(f"CASE WHEN converged THEN {_ESTIMATE} END"))
-    measured = estimated.withColumn(
-        "std_error",
-        F.expr(f"CASE WHEN converged THEN 1 / sqrt(({_DERIVATIVES.format(b='estimate')}).information) END"),
-    ).withColumn("statistic", F.expr("estimate / std_error"))
+    solved = models.select("*", F.expr(f"inline_outer(CASE WHEN converged THEN {_SOLUTION} END)"))
+    measured = solved.withColumn("std_error", F.expr("1 / sqrt(information)")).withColumn(
+        "statistic", F.expr("estimate / std_error")
+    )
     return measured.select(
         *by,
         "estimate",
