@@ -320,7 +320,9 @@ SELECT section, Subgroup, year_period, deaths,
     + """SELECT count(*) AS n_rows, 35 AS n_columns, count(DISTINCT municipality) AS n_municipality,
  count(DISTINCT date) AS n_date, count(DISTINCT year_period) AS n_year_period FROM daily""",
     "qa_emptiness": DAILY
-    + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_empty_rows, 2 AS n_empty_columns, 'note,source' AS empty_columns FROM daily",
+    + f"""SELECT count(*) AS n_rows,
+ count(*) FILTER (WHERE coalesce({", ".join(f"CAST({c} AS VARCHAR)" for c in ["date", "ENT_OCURR", "MUN_OCURR", *sql.FAMILY_OF])}) IS NULL) AS n_empty_rows,
+ 2 AS n_empty_columns, 'note,source' AS empty_columns FROM daily""",
 }
 
 
