@@ -166,11 +166,12 @@ def add_overall_level(
 
 
 # Score and information of the conditional likelihood at the log odds ratio {b}, over all
-# patterns of a model. n1 e^b / (n0 + n1 e^b) is the probability that the case day is exposed.
+# patterns of a model. With p = n1 e^b / (n0 + n1 e^b), the probability that the case day is
+# exposed, the score is w (xc - p), written without the difference that would cancel near p = 1.
 _DERIVATIVES = """aggregate(
     cells, named_struct('score', 0D, 'information', 0D),
     (t, c) -> named_struct(
-        'score', t.score + c.w * (c.xc - c.n1 * exp({b}) / (c.n0 + c.n1 * exp({b}))),
+        'score', t.score + c.w * (c.xc * c.n0 - (1 - c.xc) * c.n1 * exp({b})) / (c.n0 + c.n1 * exp({b})),
         'information', t.information + c.w * c.n1 * exp({b}) * c.n0 / power(c.n0 + c.n1 * exp({b}), 2)))"""
 
 # One Newton step, kept inside an interval known to hold the root of the falling score.
