@@ -110,32 +110,60 @@ def families(book=CODE_BOOK) -> dict[str, list[str]]:
     return found
 
 
-def predicate(field: str, codes: tuple) -> str:
-    """SQL text: the field holds one of the codes."""
-    single = [repr(c) for c in codes if not isinstance(c, tuple) and not str(c).endswith("*")]
-    tests = [f"{field} IN ({', '.join(single)})"] if single else []
-    tests += [f"{field} BETWEEN {c[0]} AND {c[1]}" for c in codes if isinstance(c, tuple)]
-    tests += [f"startswith({field}, {c[:-1]!r})" for c in codes if isinstance(c, str) and c.endswith("*")]
-    return " OR ".join(tests)
+def _numbers(codes: tuple) -> list[int]:
+    """Single codes of a list that may hold ranges."""
+    return [n for c in codes for n in (range(c[0], c[1] + 1) if isinstance(c, tuple) else (c,))]
 
 
-def indicators(year: int | str, book=CODE_BOOK) -> dict[str, str]:
-    """SQL text of one 0/1 column per subgroup; an unknown code is "not in the group".
+def _lookup(rows: list[tuple[Code, int]]) -> str:
+    """SQL text: the number of the row whose codes hold the field's value, else null.
 
-    ``year`` is the registration year. A number picks the era's codes while the plan is built; a
-    column name makes each expression choose by row, so files of many eras are cleaned in one scan.
+    Numeric codes become a constant map, text codes a CASE.
     """
-    by_subgroup: dict[str, list[Code]] = {}
-    for code in book:
-        if not isinstance(year, int) or code.years[0] <= year <= code.years[1]:
-            by_subgroup.setdefault(code.subgroup, []).append(code)
-
-    def condition(rows: list[Code]) -> str:
-        if isinstance(year, int) or rows[0].years == EVERY_YEAR:
-            return predicate(rows[0].field, rows[0].codes)
-        eras = [
-            f"WHEN {year} BETWEEN {r.years[0]} AND {r.years[1]} THEN {predicate(r.field, r.codes)}" for r in rows
-        ]
-        return f"CASE {' '.join(eras)} END"
-
-    return {name: f"CAST(coalesce({condition(rows)}, false) AS INT)" for name, rows in by_subgroup.items()}
+    field = rows[0][0].field
+    if all(isinstance(c, (int, tuple)) for r, _ in rows for c in r.codes):
+        pairs = ", ".join(f"{code}, {number}" for r, number in rows for code in _numbers(r.codes))
+        return f"map({pairs})[{field}]"
+    tests = [
+        (f"startswith({field}, {c[:-1]!r})" if c.endswith("*") else f"{field} = {c!r}", number)
+        for r, number in rows
+        for c in r.codes
+    ]
+    return f"CASE {' '.join(f'WHEN {test} THEN {number}' for test, number in tests)} END"
+
+
+def bands(year: int | str, book=CODE_BOOK) -> dict[str, str]:
+    """SQL text per family: the place of the record's subgroup in its family, null for none.
+
+    A record is in one subgroup of a family at most. ``year`` is the registration year: a number
+    picks the era's codes while the plan is built; a column name makes the expression choose by
+    row, so files of many eras are cleaned in one scan. Looking codes up in constant maps keeps
+    the generated method below the size that the JVM still compiles; chains of comparisons for
+    thirty subgroups do not.
+    """
+    found: dict[str, str] = {}
+    for family, members in families(book).items():
+        rows = [(r, members.index(r.subgroup) + 1) for r in book if r.family == family]
+
+        def of_year(y: int) -> list[tuple[Code, int]]:
+            return [(r, n) for r, n in rows if r.years[0] <= y <= r.years[1]]
+
+        starts = sorted({r.years[0] for r, _ in rows}, reverse=True)
+        if isinstance(year, int):
+            found[family] = _lookup(of_year(year))
+        elif len(starts) == 1:
+            found[family] = _lookup(rows)
+        else:
+            # latest era first, so one bound per era is enough
+            eras = [f"WHEN {year} >= {start} THEN {_lookup(of_year(start))}" for start in starts[:-1]]
+            found[family] = f"CASE {' '.join(eras)} ELSE {_lookup(of_year(starts[-1]))} END"
+    return found
+
+
+def band_flags(book=CODE_BOOK, prefix: str = "_band_") -> dict[str, str]:
+    """SQL text of one 0/1 column per subgroup, from the band columns; never null."""
+    return {
+        member: f"if({prefix}{family} <=> {number}, 1, 0)"
+        for family, members in families(book).items()
+        for number, member in enumerate(members, 1)
+    }

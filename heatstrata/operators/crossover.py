@@ -36,7 +36,7 @@ EXPOSURES_95_90 = ("hw_95_max_1", "hw_95_min_1", "hw_90_max_1", "hw_90_min_1")
 EXPOSURES_BY_STATE = ("hw_99_max_1", "hw_95_max_1")
 EXPOSURES_BY_SUBGROUP = ("hw_99_max_1", "hw_95_max_1", "hw_90_max_1", "hw_abs_30", "hw_abs_35")
 
-NEWTON_STEPS = 40
+NEWTON_STEPS = 60
 FARTHEST_ESTIMATE = 40
 
 
@@ -165,36 +165,39 @@ def add_overall_level(
     )
 
 
-# Score and information of the conditional likelihood at the log odds ratio {b}, over all
-# patterns of a model. With p = n1 e^b / (n0 + n1 e^b), the probability that the case day is
-# exposed, the score is w (xc - p), written without the difference that would cancel near p = 1.
+# Score and information of the conditional likelihood at the odds ratio {r} = e^b, over all
+# patterns of a model. With p = n1 r / (n0 + n1 r), the probability that the case day is exposed,
+# the score is w (xc - p), written without the difference that would cancel near p = 1.
 _DERIVATIVES = """aggregate(
     cells, named_struct('score', 0D, 'information', 0D),
     (t, c) -> named_struct(
-        'score', t.score + c.w * (c.xc * c.n0 - (1 - c.xc) * c.n1 * exp({b})) / (c.n0 + c.n1 * exp({b})),
-        'information', t.information + c.w * c.n1 * exp({b}) * c.n0 / power(c.n0 + c.n1 * exp({b}), 2)))"""
+        'score', t.score + c.w * (c.xc * c.n0 - (1 - c.xc) * c.n1 * {r}) / (c.n0 + c.n1 * {r}),
+        'information', t.information + c.w * c.n1 * {r} * c.n0 / power(c.n0 + c.n1 * {r}, 2)))"""
 
-# One Newton step, kept inside an interval known to hold the root of the falling score.
-_STEP = f"""transform(
-    array({_DERIVATIVES.format(b="s.b")}),
+# One Newton step, kept inside an interval known to hold the root of the falling score. A solved
+# model is passed on as it is.
+_STEP = f"""if(s.done, s, transform(
+    array({_DERIVATIVES.format(r="s.r")}),
     d -> transform(
         array(named_struct(
             'low', if(d.score >= 0, s.b, s.low),
             'high', if(d.score <= 0, s.b, s.high),
             'newton', s.b + try_divide(d.score, d.information))),
-        r -> named_struct(
-            'b', if(coalesce(r.newton BETWEEN r.low AND r.high, false), r.newton, (r.low + r.high) / 2),
-            'low', r.low,
-            'high', r.high))[0])[0]"""
+        q -> transform(
+            array(if(coalesce(q.newton BETWEEN q.low AND q.high, false), q.newton, (q.low + q.high) / 2)),
+            b -> named_struct(
+                'b', b, 'r', exp(b), 'low', q.low, 'high', q.high,
+                'done', abs(b - s.b) <= 1e-14 * abs(b)))[0])[0])[0])"""
 
 # Estimate and information of a model, as an array of one struct.
 _SOLUTION = f"""transform(
     array(_cells),
     cells -> aggregate(
         sequence(1, {NEWTON_STEPS}),
-        named_struct('b', 0D, 'low', double(-{FARTHEST_ESTIMATE}), 'high', double({FARTHEST_ESTIMATE})),
+        named_struct(
+            'b', 0D, 'r', 1D, 'low', double(-{FARTHEST_ESTIMATE}), 'high', double({FARTHEST_ESTIMATE}), 'done', false),
         (s, i) -> {_STEP},
-        s -> named_struct('estimate', s.b, 'information', ({_DERIVATIVES.format(b="s.b")}).information)))"""
+        s -> named_struct('estimate', s.b, 'information', ({_DERIVATIVES.format(r="s.r")}).information)))"""
 
 
 def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:

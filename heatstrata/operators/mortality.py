@@ -11,7 +11,7 @@ from heatstrata.functions.dates import date_from_parts
 from heatstrata.functions.indicators import differs_or_null
 from heatstrata.functions.numbers import row_sum, sum_or_zero
 from heatstrata.functions.places import municipality_id
-from heatstrata.operators.codebook import CODE_BOOK, RAW_FIELDS, SPELLINGS, SUBGROUPS, indicators
+from heatstrata.operators.codebook import CODE_BOOK, RAW_FIELDS, SPELLINGS, SUBGROUPS, band_flags, bands
 from heatstrata.operators.columns import numeric_columns, require_columns, upper_names
 
 # Codes that mean "unknown day" and "unknown place".
@@ -43,11 +43,17 @@ def clean_deaths(raw: DataFrame, year: int | str, book=CODE_BOOK) -> DataFrame:
         df, ("ENT_OCURR", "MUN_OCURR", "ANIO_OCUR", "MES_OCURR", "DIA_OCURR", *RAW_FIELDS), "death records"
     )
     date = date_from_parts(F.col("ANIO_OCUR"), F.col("MES_OCURR"), F.col("DIA_OCURR"))
-    return with_known_place(with_known_day(df)).select(
+    banded = with_known_place(with_known_day(df)).select(
         date.alias("date_of_occurrence"),
         "ENT_OCURR",
         "MUN_OCURR",
-        *[F.expr(f"{text} AS {name}") for name, text in indicators(year, book).items()],
+        *[F.expr(f"{text} AS _band_{family}") for family, text in bands(year, book).items()],
+    )
+    return banded.select(
+        "date_of_occurrence",
+        "ENT_OCURR",
+        "MUN_OCURR",
+        *[F.expr(f"{text} AS {name}") for name, text in band_flags(book).items()],
     )
 
 

@@ -80,13 +80,19 @@ def _added(parts: Sequence[Column]) -> Column:
 
 
 def with_total_row(table: DataFrame, columns: Sequence[str], section: str = "Sex") -> DataFrame:
-    """Put the column sums of one section on top, as a section of its own."""
-    total = (
-        table.where(F.col("section") == section)
+    """Add the column sums of one section, as a section of its own.
+
+    Rows of that section count twice, once under their own name and once under TOTAL, so the
+    table is computed once.
+    """
+    own = "struct(section, Subgroup)"
+    total = f"struct('{TOTAL_SECTION}' AS section, '{TOTAL_SECTION}' AS Subgroup)"
+    names = F.expr(f"inline(if(section = '{section}', array({own}, {total}), array({own})))")
+    return (
+        table.select(*[f"`{c}`" for c in columns], names)
+        .groupBy("section", "Subgroup")
         .agg(*[F.sum(f"`{c}`").alias(c) for c in columns])
-        .select(F.lit(TOTAL_SECTION).alias("section"), F.lit(TOTAL_SECTION).alias("Subgroup"), *[F.col(f"`{c}`") for c in columns])
     )
-    return total.unionByName(table)
 
 
 def combine_sections(tables: Mapping[str, DataFrame], order: Sequence[str] = tuple(REPORT_SECTIONS)) -> DataFrame:

@@ -94,23 +94,28 @@ def death_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         joined.withColumn("d", F.expr("bigint(floor(o_totalprice))"))
-        .withColumn("REG_YEAR", F.expr("int(1998 + (d div 13) % 25)"))
-        .withColumn("priority", F.substring("o_orderpriority", 1, 1))
+        .withColumns(
+            {
+                "REG_YEAR": F.expr("int(1998 + (d div 13) % 25)"),
+                "priority": F.substring("o_orderpriority", 1, 1),
+                "job": F.expr("int((d div 11) % 121)"),
+            }
+        )
         .selectExpr(
             "ENT_OCURR",
             "if(d % 97 = 0, 999, MUN_OCURR) AS MUN_OCURR",
-            "CASE d % 53 WHEN 0 THEN 99 WHEN 1 THEN 31 ELSE day(o_orderdate) END AS DIA_OCURR",
+            "coalesce(map(0L, 99, 1L, 31)[d % 53], day(o_orderdate)) AS DIA_OCURR",
             "month(o_orderdate) AS MES_OCURR",
             "year(o_orderdate) AS ANIO_OCUR",
-            """CASE priority WHEN '1' THEN 'I219' WHEN '2' THEN 'J189' WHEN '3' THEN 'F101' WHEN '4' THEN 'T67'
-             ELSE CASE o_orderstatus WHEN 'F' THEN 'X30' WHEN 'O' THEN 'T670' END END AS CAUSA_DEF""",
+            """coalesce(map('1', 'I219', '2', 'J189', '3', 'F101', '4', 'T67')[priority],
+             map('F', 'X30', 'O', 'T670')[o_orderstatus]) AS CAUSA_DEF""",
             "int(nullif(d % 32, 0)) AS EDAD_AGRU",
             "array(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 88, 99)[int((d div 32) % 12)] AS ESCOLARIDA",
-            "CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE if(REG_YEAR <= 2013, 3, 9) END AS SEXO",
-            "CASE (d div 7) % 10 WHEN 0 THEN 9 WHEN 1 THEN 2 ELSE 1 END AS NACIONALID",
-            """CASE priority WHEN '2' THEN 6 WHEN '4' THEN 9 ELSE CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1
-             WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END END AS EDO_CIVIL""",
-            "int(if((d div 11) % 121 >= 118, (d div 11) % 121 + 879, (d div 11) % 121)) AS OCUPACION",
+            "coalesce(map('F', 2, 'O', 1)[o_orderstatus], if(REG_YEAR <= 2013, 3, 9)) AS SEXO",
+            "coalesce(map(0L, 9, 1L, 2)[(d div 7) % 10], 1) AS NACIONALID",
+            """coalesce(map('2', 6, '4', 9)[priority],
+             map('AUTOMOBILE', 1, 'BUILDING', 2, 'FURNITURE', 3, 'HOUSEHOLD', 4)[c_mktsegment], 5) AS EDO_CIVIL""",
+            "if(job >= 118, job + 879, job) AS OCUPACION",
             "REG_YEAR",
             "o_orderkey",
         )
