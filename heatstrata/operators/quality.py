@@ -11,8 +11,9 @@ from heatstrata.functions.indicators import blank_or_null
 
 
 def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Number of key values present in both tables."""
-    return left.select(key).intersect(right.select(key)).agg(F.count("*").alias("n_common"))
+    """Number of key values present in both tables; both sides shrink to their keys first."""
+    common = left.select(key).distinct().intersect(right.select(key).distinct())
+    return common.agg(F.count("*").alias("n_common"))
 
 
 def join_profile(joined: DataFrame, unit: str = "municipality", date: str = "date") -> DataFrame:
