@@ -1,8 +1,9 @@
 """Similar documents by the Jaccard similarity of their word shingles, with a token-group matrix.
 
 1. Documents with equal shingle sets are one class, by a digest of the set. Only classes go on.
-2. If two sets are similar, any fixed order of shingles puts a common one among the first fifth (and
-   one) of both. Classes that share none of these with another class have no link and end here.
+2. If two sets are similar, any fixed order of shingles puts k common ones among the first fifth and
+   k of both. Each class sends its first two fifths. One that meets others there in fewer shingles
+   than its smallest possible partner allows (about 16 %) has no link and ends here.
 3. Minima of permuted shingles propose a star of pairs per value; the exact similarity of each pair
    decides. The components of these links are the groups of similar documents.
 4. Token-group matrix: for each shingle, in how many groups it occurs. A document's overlap with
@@ -36,8 +37,8 @@ HASHES = 8
 AGREE = 4
 #: Members that a piece of a group holds, about.
 PIECE = 32
-#: Longest list of class ids that is broadcast (8 bytes each); beyond it the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Longest table of class ids that is broadcast (some 16 bytes a row); beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 _MANY = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -58,9 +59,14 @@ def _digest(tokens: np.ndarray, seed: int) -> int:
     return int(words.mix(tokens ^ np.uint64(seed)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _first(n: int, percent: int) -> int:
-    """Shingles of a set of n of which one at least is in any set that links to it."""
-    return n - (percent * n + 99) // 100 + 1
+def _first(n: int, percent: int, k: int = 1) -> int:
+    """How many first shingles of a set of n have k or more in common with those of any set that links to it."""
+    return n - (percent * n + 99) // 100 + k
+
+
+def _needed(n: int, percent: int) -> int:
+    """As many as a linked set may lack, at least one."""
+    return max(1, n - (percent * n + 99) // 100)
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -84,7 +90,7 @@ def _send_first(batches: Iterator[pa.RecordBatch], size: int, percent: int, part
     width = np.uint64(math.ceil((1 << 64) / parts)) if parts > 1 else None
     for batch in batches:
         sets = {_digest(t, 1): t for t in _sets(batch.column("text"), size) if len(t)}
-        keys = [t[: _first(len(t), percent)] for t in sets.values()]
+        keys = [t[: _first(len(t), percent, _needed(len(t), percent))] for t in sets.values()]
         if not keys:
             continue
         owner = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(k) for k in keys])
@@ -104,7 +110,7 @@ def _send_first(batches: Iterator[pa.RecordBatch], size: int, percent: int, part
 
 
 def _meet(sent: pa.Table) -> pa.Table:
-    """Classes that share one of the tokens sent with another class."""
+    """How many of the tokens that a class sent another class sent as well."""
     keys, owners = [], []
     for k, at, own in zip(*(sent[c].to_pylist() for c in ("keys", "at", "own"))):
         keys.append(blocks.unpack_sorted(k))
@@ -112,10 +118,13 @@ def _meet(sent: pa.Table) -> pa.Table:
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # a class may send from several tasks
+    key, owner = key[fresh], owner[fresh]
     begin = blocks.runs(key)
     last = np.append(begin[1:], len(key)) - 1
     shared = np.repeat(owner[begin] != owner[last], np.diff(begin, append=len(key)))
-    return pa.table({"cls": pa.array(np.unique(owner[shared]), pa.int64())})
+    cls, times = np.unique(owner[shared], return_counts=True)
+    return pa.table({"cls": pa.array(cls, pa.int64()), "shared": pa.array(times, pa.int64())})
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -149,10 +158,11 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 _MATRIX = "part int, block int, keys binary, labels binary"
 
 
-def _send_tokens(block: int, _: pa.Table, sets: pa.Table, parts: int) -> pa.Table:
+def _send_tokens(block: int, told: pa.Table, sets: pa.Table, parts: int) -> pa.Table:
     """Each token of the block with the smallest and largest label, and the number of sets."""
     found = [np.frombuffer(t, np.uint64) for t in sets["tokens"].to_pylist()]
-    labels = np.repeat(sets["label"].to_numpy(), [len(t) for t in found])
+    label_of = dict(zip(told["cls"].to_pylist(), told["label"].to_pylist()))
+    labels = np.repeat(np.array([label_of[c] for c in sets["cls"].to_pylist()], np.int64), [len(t) for t in found])
     tokens = np.concatenate(found)
     order = np.lexsort((labels, tokens))
     tokens, labels = tokens[order], labels[order]
@@ -201,24 +211,27 @@ def _spread(sent: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-def _ask(block: int, shared: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
+def _ask(block: int, told: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
     """The rarest shared tokens of each set that can have a link outside its group, with the bound of its overlap."""
-    pairs = [(blocks.unpack_sorted(k), blocks.unpack(m, np.uint8)) for k, m in zip(shared["keys"].to_pylist(), shared["labels"].to_pylist())]
+    pairs = [(blocks.unpack_sorted(k), blocks.unpack(m, np.uint8)) for k, m in zip(told["keys"].to_pylist(), told["labels"].to_pylist()) if k is not None]
+    label_of = dict(zip(told["cls"].to_pylist(), told["label"].to_pylist()))
     keys = np.concatenate([k for k, _ in pairs]) if pairs else np.zeros(0, np.uint64)
     powers = np.concatenate([m for _, m in pairs]) if pairs else np.zeros(0, np.uint8)
     order = np.argsort(keys)
     keys, powers = keys[order], powers[order]
-    out = []
-    for cls, label, blob in zip(*(sets[c].to_pylist() for c in ("cls", "label", "tokens"))):
-        tokens = np.frombuffer(blob, np.uint64)
-        place = blocks.member(tokens, keys)
+    found = [np.frombuffer(t, np.uint64) for t in sets["tokens"].to_pylist()]
+    places = blocks.member(np.concatenate(found), keys)
+    out, at = [], 0
+    for cls, tokens in zip(sets["cls"].to_pylist(), found):
+        place = places[at : at + len(tokens)]
+        at += len(tokens)
         inside = place >= 0
         bound = int(inside.sum())
         first = _first(len(tokens), percent) - (len(tokens) - bound)
         if first > 0:
             own, power = tokens[inside], powers[place[inside]]
             chosen = own[np.lexsort((own, power))[:first]]
-            out.append((cls, label, len(tokens), bound, chosen.view(np.int64).tolist()))
+            out.append((cls, label_of[cls], len(tokens), bound, chosen.view(np.int64).tolist()))
     columns = list(zip(*out)) if out else [()] * 5
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cls", "label", "n", "bound", "asked"])
@@ -279,19 +292,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sent = own.select("text").mapInArrow(
         functools.partial(_send_first, size=size, percent=percent, parts=parts), "part int, keys binary, at binary, own binary"
     )
-    involved = blocks.per_part(sent, _meet, "cls long").distinct()
-    classes = store(classes.join(involved, "cls", "left_semi"))
-    n_classes = classes.count()
+    shared = blocks.per_part(sent, _meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    # the smallest partner of n shingles has `smallest`; both have as many in common as it sent beyond its own first fifth
+    smallest = F.floor((percent * F.col("n") + 99) / 100)
+    sure = F.greatest(F.lit(1), smallest - F.floor((percent * smallest + 99) / 100))
+    classes = store(classes.join(shared, "cls").filter(F.col("shared") >= sure).drop("shared"))
 
     wanted = classes.select("cls", F.when(F.col("rep") < (1 << 63) - 1, F.col("rep")).alias("rep"))
-    if n_classes <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = own.join(wanted, own.doc_id.eqNullSafe(F.col("rep"))).select("cls", "text")
+    texts = own.join(_small(wanted), own.doc_id.eqNullSafe(F.col("rep"))).select("cls", "text")
     sets = store(texts.mapInArrow(functools.partial(_tokens, size=size), "cls long, same boolean, n long, tokens binary").filter("same").drop("same"))
 
-    links = store(_compared(_stars(classes), sets, percent))
-    labels = _labels(classes, components(links, store))
-    labels = store(labels)
+    links = store(_compared(store(_stars(classes)), sets, percent))
+    labels = store(_labels(classes, components(links, store)))
     links = store(links.union(_between(sets, labels, percent, n_blocks=max(1, parts), store=store)).distinct())
 
     grouped = components(links, store)
@@ -319,10 +331,17 @@ def _stars(classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(agree >= AGREE).select("a", "b")
 
 
+def _small(stored: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if its rows are not more than BROADCAST_ROWS."""
+    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(functools.partial(_compare, percent=percent), "a long, b long")
+    """The stored pairs that link. Only the sets of the pairs move."""
+    pairs = _small(pairs)
+    a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
+    b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
+    return a.join(b, ["a", "b"]).mapInArrow(functools.partial(_compare, percent=percent), "a long, b long")
 
 
 def _labels(classes: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -334,12 +353,13 @@ def _labels(classes: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _between(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, store: Stored) -> DataFrame:
     """Links between sets of different groups."""
-    dealt = sets.join(labels, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int"))
-    dealt = store(dealt).repartition(n_blocks, "block")
-    none = sets.sparkSession.createDataFrame([], "block int")
-    sent = blocks.per_block(none, dealt, functools.partial(_send_tokens, parts=n_blocks), _MATRIX)
+    block = F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int")
+    dealt = sets.select(block.alias("block"), "cls", "tokens").repartition(n_blocks, "block")
+    told = labels.select(block.alias("block"), "cls", "label")
+    sent = blocks.per_block(told, dealt, functools.partial(_send_tokens, parts=n_blocks), _MATRIX)
     shared = blocks.per_part(sent, _spread, _MATRIX)
-    asked = store(blocks.per_block(shared, dealt, functools.partial(_ask, percent=percent), "cls long, label long, n long, bound long, asked array<long>"))
+    told = told.unionByName(shared.select("block", "keys", "labels"), allowMissingColumns=True)
+    asked = store(blocks.per_block(told, dealt, functools.partial(_ask, percent=percent), "cls long, label long, n long, bound long, asked array<long>"))
 
     # pieces of groups: members of similar size, about PIECE of them
     step = F.floor(F.log(F.col("n").cast("double")) * 20).cast("long")
@@ -359,7 +379,7 @@ def _between(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, st
     sizes = 100 * F.col("most") >= percent * F.col("n")
     pairs = store(queries.join(held, "token").filter((F.col("label") != F.col("group")) & smaller & enough & sizes).select(F.col("cls").alias("a"), "piece").distinct())
     opened = pairs.select("piece").distinct()
-    members = live.select("cls", "piece").join(opened, "piece").join(sets.select("cls", "tokens"), "cls")
+    members = _small(store(live.select("cls", "piece").join(opened, "piece"))).join(sets.select("cls", "tokens"), "cls")
 
     def packed(table: pa.Table) -> pa.Table:
         return _pack_group(table)
@@ -367,5 +387,5 @@ def _between(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, st
     groups = members.groupBy("piece").applyInArrow(
         packed, "piece string, least long, union_tokens binary, members array<long>, member_tokens array<binary>"
     )
-    asking = pairs.join(sets.select(F.col("cls").alias("a"), "tokens"), "a")
+    asking = _small(pairs).join(sets.select(F.col("cls").alias("a"), "tokens"), "a")
     return asking.join(groups, "piece").mapInArrow(functools.partial(_open, percent=percent), "a long, b long")
