@@ -109,7 +109,7 @@ def _send_first(batches: Iterator[pa.RecordBatch], size: int, percent: int, part
         )
 
 
-def _meet(sent: pa.Table) -> pa.Table:
+def _meet(sent: pa.Table, parts: int) -> pa.Table:
     """How many of the tokens that a class sent another class sent as well."""
     keys, owners = [], []
     for k, at, own in zip(*(sent[c].to_pylist() for c in ("keys", "at", "own"))):
@@ -124,7 +124,22 @@ def _meet(sent: pa.Table) -> pa.Table:
     last = np.append(begin[1:], len(key)) - 1
     shared = np.repeat(owner[begin] != owner[last], np.diff(begin, append=len(key)))
     cls, times = np.unique(owner[shared], return_counts=True)
-    return pa.table({"cls": pa.array(cls, pa.int64()), "shared": pa.array(times, pa.int64())})
+    to = words.mix(cls.view(np.uint64)) % np.uint64(parts)
+    order = np.argsort(to, kind="stable")
+    cls, times, to = cls[order], times[order], to[order]
+    begin = blocks.runs(to)
+    rows = [(int(to[a]), blocks.pack(cls[a:b]), blocks.pack(times[a:b])) for a, b in zip(begin, [*begin[1:], len(to)])]
+    columns = list(zip(*rows)) if rows else [()] * 3
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cls", "shared"])
+
+
+def _add_up(sent: pa.Table) -> pa.Table:
+    cls = np.concatenate([blocks.unpack(x, np.int64) for x in sent["cls"].to_pylist()])
+    shared = np.concatenate([blocks.unpack(x, np.int64) for x in sent["shared"].to_pylist()])
+    own, at = np.unique(cls, return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, shared)
+    return pa.table({"cls": pa.array(own, pa.int64()), "shared": pa.array(total, pa.int64())})
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -292,7 +307,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sent = own.select("text").mapInArrow(
         functools.partial(_send_first, size=size, percent=percent, parts=parts), "part int, keys binary, at binary, own binary"
     )
-    shared = blocks.per_part(sent, _meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    met = blocks.per_part(sent, functools.partial(_meet, parts=parts), "part int, cls binary, shared binary")
+    shared = blocks.per_part(met, _add_up, "cls long, shared long")
     # the smallest partner of n shingles has `smallest`; both have as many in common as it sent beyond its own first fifth
     smallest = F.floor((percent * F.col("n") + 99) / 100)
     sure = F.greatest(F.lit(1), smallest - F.floor((percent * smallest + 99) / 100))
