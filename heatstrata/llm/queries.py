@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heatstrata.llm.chat_format import format_chats, read_loss, read_turns
 from heatstrata.llm.decontaminate import leaks
+from heatstrata.llm.line_dedup import without_repeated_lines
 from heatstrata.llm.mixing import mix_sources
 from heatstrata.llm.ngram_join import similar_documents
 from heatstrata.llm.perplexity_rules import quality
@@ -64,6 +65,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
