@@ -22,10 +22,11 @@ from heatstrata.llm.stored import Stored
 ORDER = 5
 #: n-grams of the highest order that the model keeps, the most frequent first. Its size is bounded so.
 MAX_NGRAMS = 3_000_000
-#: Documents with a log perplexity further than this many quartile distances from the median go.
-UPPER, LOWER = 4.0, 4.0
-#: Shorter texts are too short for a perplexity band.
-MIN_CHARS = 100
+#: Documents with a log perplexity further than this many quartile distances from the median go;
+#: a text of n bytes may be 1 + SHORT / n times as far, as short texts vary more.
+UPPER, LOWER, SHORT = 12.0, 12.0, 300
+#: Texts that the quartiles are taken from, in bytes.
+MIN_CHARS = 200
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -277,8 +278,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
     base_failed: fewer than 10 words, or over 20 % of them in 5-word windows that the text repeats.
     kept: not base_failed, and the log perplexity is inside its language's band: UPPER and LOWER
-    quartile distances around the median (a distance is at least 2 % of the median). Texts of fewer
-    than MIN_CHARS bytes pass the band. A null text is empty: no words, null perplexity, base_failed.
+    quartile distances around the median of its texts of MIN_CHARS or more, wider for short texts (a
+    distance is at least 2 % of the median; a language without such texts has no band). A null text is empty: no words, null perplexity, base_failed.
     A null language is a language of its own. Repeated rows are scored alike; null ids are kept; other
     columns are ignored; an empty table gives no rows.
     """
@@ -289,12 +290,14 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     long_enough = F.when(F.col("n_chars") >= MIN_CHARS, F.col("log_perplexity"))
     bands = scores.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx(long_enough, [0.25, 0.5, 0.75], 10_000).alias("q"))
     q = [F.col("q")[i] for i in range(3)]
-    bands = bands.select(
-        "of",
-        (q[1] - LOWER * F.greatest(q[1] - q[0], 0.02 * q[1])).alias("band_low"),
-        (q[1] + UPPER * F.greatest(q[2] - q[1], 0.02 * q[1])).alias("band_high"),
+    bands = bands.select("of", q[1].alias("middle"), F.greatest(q[1] - q[0], 0.02 * q[1]).alias("below"), F.greatest(q[2] - q[1], 0.02 * q[1]).alias("above"))
+    wider = 1 + SHORT / F.col("n_chars")
+    judged = (
+        scores.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left")
+        .withColumn("band_low", F.col("middle") - LOWER * F.col("below") * wider)
+        .withColumn("band_high", F.col("middle") + UPPER * F.col("above") * wider)
+        .drop("of", "middle", "below", "above")
     )
-    judged = scores.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    outside = (F.col("n_chars") >= MIN_CHARS) & ((F.col("log_perplexity") < F.col("band_low")) | (F.col("log_perplexity") > F.col("band_high")))
+    outside = (F.col("log_perplexity") < F.col("band_low")) | (F.col("log_perplexity") > F.col("band_high"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(outside, F.lit(False)))
