@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heatstrata.llm.chat_format import format_chats, read_loss, read_turns
 from heatstrata.llm.decontaminate import leaks
+from heatstrata.llm.license_scan import licenses
 from heatstrata.llm.line_dedup import without_repeated_lines
 from heatstrata.llm.mixing import mix_sources
 from heatstrata.llm.ngram_join import similar_documents
@@ -72,6 +73,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
