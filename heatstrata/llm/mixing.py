@@ -100,10 +100,10 @@ def mix_sources(
     ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = ranged.groupBy("range").agg(F.sum("size").alias("sum")).select("range", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
     line = W.partitionBy("range").orderBy("finish", "turn", "row").rowsBetween(W.unboundedPreceding, 0)
-    budget = goals.agg(F.sum("target").alias("budget"))
+    budget = goals.agg(F.sum("target")).first()[0] or 0.0
     served = (
-        ranged.withColumn("total", F.sum("size").over(line)).join(starts, "range").join(F.broadcast(budget))
-        .filter(F.col("start") + F.col("total") <= F.col("budget") + 1e-6)
+        ranged.withColumn("total", F.sum("size").over(line)).join(starts, "range")
+        .filter(F.col("start") + F.col("total") <= budget + 1e-6)
         .groupBy("row").agg(F.sum("size").alias("taken"))
     )
     found = sized.join(goals.select(F.col("source").alias("of"), "source_size", "target"), same(F.col("source"), F.col("of"))).join(served, "row", "left")

@@ -111,22 +111,18 @@ def site_quality(
     paths = judged.groupBy("site", "path").agg(F.sum("evidence").alias("path_sum"), F.count("*").alias("path_n"))
     paths = store(paths)
     sites = paths.groupBy("site").agg(F.sum("path_sum").alias("site_sum"), F.sum("path_n").alias("site_n"))
-    world = sites.agg(F.sum("site_sum").alias("s"), F.sum("site_n").alias("n")).select((F.col("s") / F.col("n")).alias("world"))
-    sites = sites.join(F.broadcast(world))
-    strong = sites.agg(_strength(F.col("site_sum"), F.col("site_n"), F.col("world")).alias("site_prior"))
-    sites = sites.join(F.broadcast(strong)).withColumn("site_share", (F.col("site_sum") + F.col("site_prior") * F.col("world")) / (F.col("site_n") + F.col("site_prior")))
-    sites = store(sites)
-    joined = paths.withColumnRenamed("site", "of").join(sites, F.col("of").eqNullSafe(F.col("site"))).drop("of")
-    strong = joined.agg(_strength(F.col("path_sum"), F.col("path_n"), F.col("site_share")).alias("path_prior"))
-    levels = joined.join(F.broadcast(strong)).select(
-        F.col("site").alias("of_site"), F.col("path").alias("of_path"), "path_sum", "path_n", "path_prior", "site_share", "world"
-    )
+    world = sites.agg(F.sum("site_sum") / F.sum("site_n")).first()[0] or 0.5
+    strong = sites.agg(_strength(F.col("site_sum"), F.col("site_n"), F.lit(world))).first()[0] or 2.0
+    sites = store(sites.withColumn("site_share", (F.col("site_sum") + strong * world) / (F.col("site_n") + strong)))
+    joined = store(paths.withColumnRenamed("site", "of").join(sites, F.col("of").eqNullSafe(F.col("site"))).drop("of"))
+    strong = joined.agg(_strength(F.col("path_sum"), F.col("path_n"), F.col("site_share"))).first()[0] or 2.0
+    levels = joined.select(F.col("site").alias("of_site"), F.col("path").alias("of_path"), "path_sum", "path_n", "site_share")
     found = judged.join(levels, judged.site.eqNullSafe(F.col("of_site")) & judged.path.eqNullSafe(F.col("of_path")))
     # the document itself is left out of its path's share
-    share = (F.col("path_sum") - F.col("evidence") + F.col("path_prior") * F.col("site_share")) / (F.col("path_n") - 1 + F.col("path_prior"))
+    share = (F.col("path_sum") - F.col("evidence") + strong * F.col("site_share")) / (F.col("path_n") - 1 + strong)
     odds = lambda p: p / (1 - p)
     safe = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    posterior = odds(safe(F.col("path_share"))) * odds(F.col("evidence")) / odds(safe(F.col("world")))
+    posterior = odds(safe(F.col("path_share"))) * odds(F.col("evidence")) / (world / (1 - world))
     return (
         found.withColumn("path_share", share)
         .withColumn("posterior", posterior / (1 + posterior))
