@@ -2,7 +2,8 @@
 
 The model is a modified Kneser-Ney model over the bytes of a text (A-Z lower-cased, spaces as one),
 one per language, trained on all documents. Spark counts the n-grams; each order is kept as arrays
-sorted by hash, in which scoring looks n-grams up.
+sorted by hash, in which scoring looks n-grams up. n-grams seen once are discounted wholly, so that
+a text does not vouch for itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ ORDER = 5
 MAX_NGRAMS = 3_000_000
 #: Documents with a log perplexity further than this many quartile distances from the median go;
 #: a text of n bytes may be 1 + SHORT / n times as far, as short texts vary more.
-UPPER, LOWER, SHORT = 12.0, 12.0, 300
+UPPER, LOWER, SHORT = 16.0, 12.0, 300
 #: Texts that the quartiles are taken from, in bytes.
 MIN_CHARS = 200
 _SYMBOLS = np.zeros(256, bool)
@@ -157,14 +158,18 @@ def _kneser_ney(counts: list[pd.DataFrame], languages: dict) -> Model:
         keys, n = table["ngram"].to_numpy(np.uint64), table["n"].to_numpy(np.float64)
         by_key = np.argsort(keys)
         keys, n = keys[by_key], n[by_key]
+        if not len(keys):
+            return Model(languages, [HashArray.of(keys, n.astype(np.float32))] * ORDER, [HashArray.of(keys, n.astype(np.float32))] * ORDER)
         language = keys >> np.uint64(8 * order)
         discount = np.zeros((len(languages) + 1, 4))
         for one in np.unique(language).tolist():
             t = [float(((language == one) & (n == k)).sum()) for k in (1, 2, 3, 4)]
             y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
-            for k in (1, 2, 3):
+            for k in (2, 3):
                 d = k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.5 * k
                 discount[one, k] = min(max(d, 0.1), k - 0.05)
+            # what was seen once may be the scored text's own, and is no evidence for it
+            discount[one, 1] = 1.0 if order > 1 else 0.5
         less = discount[language.astype(np.int64), np.minimum(n, 3).astype(np.int64)]
         context = keys >> np.uint64(8)
         begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
@@ -180,8 +185,10 @@ def _kneser_ney(counts: list[pd.DataFrame], languages: dict) -> Model:
             shorter = np.exp2(below_logs[np.searchsorted(below_keys, suffix)])
         p = (n - less) / total[of] + left[of] * shorter
         below_keys, below_logs = keys, np.log2(p)
-        probabilities.append(HashArray.of(keys, below_logs.astype(np.float32)))
-        weights.append(HashArray.of(context[begin], np.log2(left).astype(np.float32)))
+        seen = (n > 1) | (order == 1)
+        probabilities.append(HashArray.of(keys[seen], below_logs[seen].astype(np.float32)))
+        known = left < 1
+        weights.append(HashArray.of(context[begin][known], np.log2(left[known]).astype(np.float32)))
     return Model(languages, probabilities, weights)
 
 
@@ -291,7 +298,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     bands = scores.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx(long_enough, [0.25, 0.5, 0.75], 10_000).alias("q"))
     q = [F.col("q")[i] for i in range(3)]
     bands = bands.select("of", q[1].alias("middle"), F.greatest(q[1] - q[0], 0.02 * q[1]).alias("below"), F.greatest(q[2] - q[1], 0.02 * q[1]).alias("above"))
-    wider = 1 + SHORT / F.col("n_chars")
+    wider = 1 + SHORT / F.greatest("n_chars", F.lit(1))
     judged = (
         scores.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left")
         .withColumn("band_low", F.col("middle") - LOWER * F.col("below") * wider)
