@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ from heatstrata.llm import words
 from heatstrata.llm.stored import Stored
 
 ORDER = 5
-#: n-grams of the highest order that the model keeps, the most frequent first. Its size is bounded so.
-MAX_NGRAMS = 3_000_000
+#: n-grams of an order that the model keeps, the most frequent first. Its size is bounded so.
+MAX_NGRAMS = 2_000_000
 #: Documents with a log perplexity further than this many quartile distances from the median go;
 #: a text of n bytes may be 1 + SHORT / n times as far, as short texts vary more.
 UPPER, LOWER, SHORT = 16.0, 12.0, 300
@@ -133,11 +132,11 @@ class Model:
     probabilities: list[HashArray]  #: by order, 1 first: log2 of the interpolated probability of an n-gram
     weights: list[HashArray]  #: by order, 1 first: log2 of what a context leaves to the shorter one
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
+    def score(self, keys: np.ndarray, highest: int = ORDER) -> np.ndarray:
         """log2 probability of the last byte of each n-gram, its first bytes being the context."""
         total = np.zeros(len(keys), np.float32)
-        left, language = np.arange(len(keys)), keys >> np.uint64(8 * ORDER)
-        for order in range(ORDER, 0, -1):
+        left, language = np.arange(len(keys)), keys >> np.uint64(8 * highest)
+        for order in range(highest, 0, -1):
             low = np.uint64((1 << (8 * order)) - 1)
             key = (language[left] << np.uint64(8 * order)) | (keys[left] & low)
             value, there = self.probabilities[order - 1].get(key)
@@ -150,12 +149,13 @@ class Model:
         return total
 
 
-def _kneser_ney(counts: list[pd.DataFrame], languages: dict) -> Model:
+def _kneser_ney(counts: Iterator[pa.Table], languages: dict) -> Model:
     """counts: by order, 1 first: ngram (language above the bytes) and n, adjusted counts below the highest order."""
-    probabilities, weights = [], []
-    below_keys, below_logs = None, None
+    probabilities: list[HashArray] = []
+    weights: list[HashArray] = []
+    model = Model(languages, probabilities, weights)
     for order, table in enumerate(counts, 1):
-        keys, n = table["ngram"].to_numpy(np.uint64), table["n"].to_numpy(np.float64)
+        keys, n = table["ngram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
         by_key = np.argsort(keys)
         keys, n = keys[by_key], n[by_key]
         if not len(keys):
@@ -176,44 +176,44 @@ def _kneser_ney(counts: list[pd.DataFrame], languages: dict) -> Model:
         of = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(keys)))
         total = np.add.reduceat(n, begin)
         left = np.add.reduceat(less, begin) / total
-        if below_keys is None:
-            shorter = np.full(len(keys), 1 / 256)
-        else:
-            # the suffix of every n-gram is an n-gram of the next lower order
-            low = np.uint64((1 << (8 * (order - 1))) - 1)
-            suffix = (language << np.uint64(8 * (order - 1))) | (keys & low)
-            shorter = np.exp2(below_logs[np.searchsorted(below_keys, suffix)])
-        p = (n - less) / total[of] + left[of] * shorter
-        below_keys, below_logs = keys, np.log2(p)
         seen = (n > 1) | (order == 1)
-        probabilities.append(HashArray.of(keys[seen], below_logs[seen].astype(np.float32)))
+        low = np.uint64((1 << (8 * (order - 1))) - 1)
+        suffix = (language[seen] << np.uint64(8 * (order - 1))) | (keys[seen] & low)
+        shorter = np.exp2(model.score(suffix, order - 1).astype(np.float64))
+        p = (n - less)[seen] / total[of[seen]] + left[of[seen]] * shorter
+        probabilities.append(HashArray.of(keys[seen], np.log2(p).astype(np.float32)))
         known = left < 1
         weights.append(HashArray.of(context[begin][known], np.log2(left[known]).astype(np.float32)))
-    return Model(languages, probabilities, weights)
+    return model
+
+
+def _most_frequent(counted: DataFrame) -> DataFrame:
+    """The n-grams of the highest counts, MAX_NGRAMS at most."""
+    if counted.count() <= MAX_NGRAMS:
+        return counted
+    histogram = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
+    kept, least = 0, 10_000
+    for r in histogram:
+        if kept + r["rows"] > MAX_NGRAMS:
+            break
+        kept, least = kept + r["rows"], r["n"]
+    return counted.filter(F.col("n") >= least)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all documents. Its n-grams of the highest order are the MAX_NGRAMS most frequent at most."""
+    """The model of all documents: all n-grams are counted, the MAX_NGRAMS most frequent of each order are kept."""
     store = Stored(docs.sparkSession)
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     names = sorted((r[0] for r in own.select("lang").distinct().collect()), key=lambda x: (x is None, x or ""))
     languages = {x: i for i, x in enumerate(names)}
     counted = own.mapInArrow(lambda batches: _count(batches, languages), "ngram long, n long")
     highest = store(counted.groupBy("ngram").agg(F.sum("n").alias("n")))
-    if highest.count() > MAX_NGRAMS:
-        histogram = highest.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
-        kept, least = 0, 10_000
-        for r in histogram:
-            if kept + r["rows"] > MAX_NGRAMS:
-                break
-            kept, least = kept + r["rows"], r["n"]
-        highest = store(highest.filter(F.col("n") >= least))
     orders = [highest]
     for order in range(ORDER - 1, 0, -1):
         above = orders[-1]
         key = F.shiftleft(F.shiftright("ngram", 8 * (order + 1)), 8 * order).bitwiseOR(F.col("ngram").bitwiseAND(F.lit((1 << (8 * order)) - 1)))
         orders.append(store(above.groupBy(key.alias("ngram")).agg(F.count("*").alias("n"))))
-    return _kneser_ney([t.toPandas() for t in reversed(orders)], languages)
+    return _kneser_ney((_most_frequent(t).toArrow() for t in reversed(orders)), languages)
 
 
 def _repeats(hashes: np.ndarray, found: words.Words, size: int) -> np.ndarray:
