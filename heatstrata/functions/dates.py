@@ -30,6 +30,8 @@ def date_from_layouts(col: Column, layouts=DATE_LAYOUTS) -> Column:
 def column_layout(df: DataFrame, name: str, layouts=DATE_LAYOUTS) -> str | None:
     """First layout that fits at least one value of the column: one aggregate over the table.
 
+    An error if none fits any of its values; null for a column without values.
+
     Use with ``F.try_to_date(col, layout)`` when a whole column shares one layout, so that
     ``03/04/2001`` is not read in one layout on one row and in another on the next.
     """
@@ -37,8 +39,11 @@ def column_layout(df: DataFrame, name: str, layouts=DATE_LAYOUTS) -> str | None:
         F.max(F.try_to_date(F.col(name), layout).isNotNull()).alias(f"l{i}")
         for i, layout in enumerate(layouts)
     ]
-    row = df.agg(*fits).first()
-    return next((layout for layout, ok in zip(layouts, row) if ok), None)
+    row = df.agg(*fits, F.count(F.col(name)).alias("n")).first()
+    fitting = [layout for layout, ok in zip(layouts, row) if ok]
+    if not fitting and row["n"]:
+        raise ValueError(f"no date layout fits column {name}")
+    return fitting[0] if fitting else None
 
 
 def iso_weekday(date: Column) -> Column:

@@ -47,30 +47,18 @@ def existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def plain_name(name: str) -> str:
-    """Lower case, letters and digits only: ``Date of_Occurrence`` is ``dateofoccurrence``."""
-    return "".join(ch for ch in name.lower() if ch.isalnum())
-
-
-def find_column(df: DataFrame, candidates: Iterable[str]) -> str | None:
-    """The column whose plain name is the first candidate found."""
-    by_plain = {plain_name(c): c for c in df.columns}
-    return next((by_plain[plain_name(c)] for c in candidates if plain_name(c) in by_plain), None)
-
-
-# Names under which a year or a date column is recognised.
-YEAR_NAMES = ("year", "anio", "ano")
-DATE_NAMES = ("date_of_occurrence",)
+# Spellings, in any case, under which a year or a date column is accepted.
+YEAR_SPELLINGS = ("year", "anio", "ano")
+DATE_SPELLINGS = ("date_of_occurrence", "date of occurrence", "date-of-occurrence", "dateofoccurrence")
 
 
 def find_year_or_date(df: DataFrame) -> tuple[str, str]:
     """("year", name) if a year column exists, else ("date", name); an error if neither does."""
-    name = find_column(df, YEAR_NAMES)
-    if name is not None:
-        return "year", name
-    name = find_column(df, DATE_NAMES)
-    if name is not None:
-        return "date", name
+    present = {name.lower(): name for name in reversed(df.columns)}
+    accepted = [("year", s) for s in YEAR_SPELLINGS] + [("date", s) for s in DATE_SPELLINGS]
+    for kind, spelling in accepted:
+        if spelling in present:
+            return kind, present[spelling]
     raise MissingColumns("no date or year column")
 
 

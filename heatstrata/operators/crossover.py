@@ -87,13 +87,17 @@ def with_reference_counts(
 ) -> DataFrame:
     """Next to each exposure x: exposed days (``x#n1``) and unexposed days (``x#n0``) of its stratum.
 
-    The window keys start with the unit, so a table already partitioned by unit is not shuffled.
+    The window keys start with the unit, so a table already partitioned by unit is not shuffled. A
+    unit with two rows for one day is an error: in the same window, the days as bits must add up to
+    what they are together.
     """
     over = f"OVER (PARTITION BY `{unit}`, year(`{date}`), month(`{date}`), weekday(`{date}`))"
+    bit = f"shiftleft(1L, day(`{date}`))"
+    once = f"(sum({bit}) {over} <=> bit_or({bit}) {over})"
     counts = {}
     for x in exposures:
-        counts[f"{x.column}#n1"] = F.expr(f"CAST(sum(`{x.column}`) {over} AS INT)")
-        counts[f"{x.column}#n0"] = F.expr(f"CAST(sum(1 - `{x.column}`) {over} AS INT)")
+        for place, value in (("n1", f"`{x.column}`"), ("n0", f"1 - `{x.column}`")):
+            counts[f"{x.column}#{place}"] = F.expr(f"if({once}, CAST(sum({value}) {over} AS INT), raise_error('two rows for one unit and day'))")
     return weather.withColumns(counts)
 
 

@@ -58,11 +58,17 @@ def clean_deaths(raw: DataFrame, year: int | str, book=CODE_BOOK) -> DataFrame:
 
 
 def one_spelling(df: DataFrame) -> DataFrame:
-    """Bring civil-status columns of differently cleaned files under one name."""
-    df = df.withColumnsRenamed({old: new for old, new in SPELLINGS.items() if old in df.columns})
-    apart = [c for c in ("CIVIL_SEPARATED", "CIVIL_DIVORCED") if c in df.columns]
-    if apart and "CIVIL_DIVORCED_SEPARATED" not in df.columns:
-        df = df.withColumn("CIVIL_DIVORCED_SEPARATED", row_sum([F.col(c) for c in apart])).drop(*apart)
+    """Bring civil-status columns of differently cleaned files under one name.
+
+    All spellings that are there are added up by row, leaving out nulls, so a union of files with
+    different spellings keeps each file's values.
+    """
+    joint = "CIVIL_DIVORCED_SEPARATED"
+    others = [c for c in (*(old for old, new in SPELLINGS.items() if new == joint), "CIVIL_SEPARATED", "CIVIL_DIVORCED") if c in df.columns]
+    df = df.withColumnsRenamed({old: new for old, new in SPELLINGS.items() if new != joint and old in df.columns})
+    if others:
+        there = [joint] if joint in df.columns else []
+        df = df.withColumn(joint, row_sum([F.col(c) for c in there + others])).drop(*others)
     return df
 
 

@@ -17,17 +17,57 @@ def header_names(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def schema_for(names: Sequence[str], known: T.StructType) -> T.StructType:
-    """Types by name, not by place: known names (in any case) get their type, others are text."""
+def files_below(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """The files that Spark reads for a file, folder, glob or list of them."""
+    return sorted(spark.read.text([paths] if isinstance(paths, str) else list(paths)).inputFiles())
+
+
+def typed(name: str, known: T.StructType) -> Column:
+    """A text column as its known type (names in any case), others as they are.
+
+    Whole numbers may be written as floats (``9.0``). What does not fit becomes null.
+    """
     kinds = {f.name.upper(): f.dataType for f in known.fields}
-    return T.StructType([T.StructField(n, kinds.get(n.upper(), T.StringType()), True) for n in names])
+    text, kind = F.col(f"`{name}`"), kinds.get(name.upper(), T.StringType())
+    if not isinstance(kind, T.IntegralType):
+        return text.try_cast(kind).alias(name)
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind)).alias(name)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], known: T.StructType) -> DataFrame:
-    """Header CSV with known types; a value that does not fit its type becomes null."""
-    first = paths if isinstance(paths, str) else paths[0]
-    schema = schema_for(header_names(spark, first), known)
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(paths)
+def _same_header(spark: SparkSession, names: Sequence[str], files: list[str], known: T.StructType, misfits: str | None) -> DataFrame:
+    """Files with one header, read by one scan; Spark checks the header of each against the names."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(files)
+    if misfits is None:
+        return raw
+    lost = [(F.col(f"`{n}`").isNotNull() & typed(n, known).isNull()).cast("int") for n in names]
+    return raw.withColumn(misfits, sum(lost, F.lit(0)))
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str], known: T.StructType, misfits: str | None = None, tag: str | None = None) -> DataFrame:
+    """Header CSV with known types. Files are matched by each one's own header, never by place.
+
+    Columns come in the order of the first file, then those that only others have; absent ones are
+    null. A value that does not fit its type becomes null; ``misfits`` names a column with their
+    number per row, ``tag`` one with the file's path.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files_below(spark, paths):
+        by_header.setdefault(tuple(header_names(spark, file)), []).append(file)
+    by_header.pop((), None)  # files without a line
+    if not by_header:
+        raise FileNotFoundError(f"no file with a header below {paths}")
+    parts = [
+        _same_header(spark, names, files, known, misfits).select(
+            *[typed(n, known) for n in names], *([misfits] if misfits else []), *([F.col("_metadata.file_path").alias(tag)] if tag else [])
+        )
+        for names, files in by_header.items()
+    ]
+    combined = parts[0]
+    for part in parts[1:]:
+        combined = combined.unionByName(part, allowMissingColumns=True)
+    return combined
 
 
 def read_wanted(spark: SparkSession, path: str, wanted: Iterable[str], known: T.StructType) -> DataFrame:
@@ -37,33 +77,32 @@ def read_wanted(spark: SparkSession, path: str, wanted: Iterable[str], known: T.
 
 
 def read_years(
-    spark: SparkSession, paths: Sequence[str], known: T.StructType, tag: str | None = None
+    spark: SparkSession, paths: Sequence[str], known: T.StructType, tag: str | None = None, skipped: list[str] | None = None
 ) -> DataFrame:
     """Union of yearly files by column name, upper-cased; absent columns are null.
 
-    Files with the same header are read by one scan. A path that cannot be opened is left out;
-    if none opens, that is an error. ``tag`` names a column that gets each file's path.
+    Files with the same header are read by one scan. A path that cannot be opened is an error, unless
+    a list ``skipped`` is given to which it is added; if none opens, that is an error too. ``tag``
+    names a column that gets each file's path.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
-    failed: list[str] = []
     for path in paths:
         try:
-            names = tuple(header_names(spark, path))
-        except AnalysisException:
-            names = ()
-        if names:
-            by_header.setdefault(names, []).append(path)
-        else:
-            failed.append(path)
+            for file in files_below(spark, path):
+                by_header.setdefault(tuple(header_names(spark, file)), []).append(file)
+        except AnalysisException as e:
+            if skipped is None:
+                raise FileNotFoundError(f"cannot read {path}") from e
+            skipped.append(path)
+    by_header.pop((), None)
     if not by_header:
-        raise FileNotFoundError(f"no readable file among {failed}")
+        raise FileNotFoundError(f"no readable file among {list(paths)}")
     combined: DataFrame | None = None
     for names, same in by_header.items():
-        part = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema_for(names, known)).csv(same)
-        columns = [F.col(f"`{n}`").alias(n.upper()) for n in names]
+        columns = [typed(n, known).alias(n.upper()) for n in names]
         if tag is not None:
             columns.append(F.col("_metadata.file_path").alias(tag))
-        part = part.select(*columns)
+        part = _same_header(spark, names, same, known, None).select(*columns)
         combined = part if combined is None else combined.unionByName(part, allowMissingColumns=True)
     return combined
 
@@ -75,17 +114,25 @@ def year_in_path(path_column: str) -> Column:
 
 def read_period_files(spark: SparkSession, folder: str, known: T.StructType, prefix: str = "combined_sum_") -> DataFrame:
     """All ``<prefix><first>_<last>`` files of a folder, with ``year_period`` from the name."""
-    df = read_csv(spark, f"{folder.rstrip('/')}/{prefix}*", known)
-    found = F.regexp_extract(F.col("_metadata.file_path"), prefix + r"(\d{4}_\d{4})", 1)
-    return df.select("*", normal_label(found).alias("year_period"))
+    df = read_csv(spark, f"{folder.rstrip('/')}/{prefix}*", known, tag="_file")
+    found = F.regexp_extract("_file", prefix + r"(\d{4}_\d{4})", 1)
+    return df.withColumn("year_period", normal_label(found)).drop("_file")
+
 
+def read_sections(
+    spark: SparkSession, folder: str, sections: Sequence[str], skipped: list[str] | None = None
+) -> dict[str, DataFrame]:
+    """Section tables of a report: one CSV folder per section, all columns as text.
 
-def read_sections(spark: SparkSession, folder: str, sections: Sequence[str]) -> dict[str, DataFrame]:
-    """Section tables of a report: one CSV folder per section, all columns as text."""
+    A section that is not there, or cannot be read, is an error, unless a list ``skipped`` is given
+    to which its name is added.
+    """
     tables: dict[str, DataFrame] = {}
     for name in sections:
         try:
             tables[name] = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/{name}")
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if skipped is None:
+                raise FileNotFoundError(f"no section {name} in {folder}") from e
+            skipped.append(name)
     return tables

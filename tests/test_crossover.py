@@ -169,3 +169,14 @@ def test_reference_value_on_given_tables(spark):
 
     row = registry.QUERIES["cc_region_days"](spark, "/root/testdata/sf0.01").first()
     assert row.estimate == pytest.approx(0.025085599381468, abs=1e-6)
+
+
+def test_two_rows_for_one_unit_and_day_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    weather = spark.sql("SELECT 'u' AS municipality, explode(sequence(DATE'2001-01-01', DATE'2001-01-31')) AS date, 1 AS x")
+    exposure = crossover.same_day(["x"])
+    assert crossover.with_reference_counts(weather, exposure).count() == 31
+    twice = weather.union(weather.limit(1))
+    with pytest.raises(PySparkException, match="two rows for one unit and day"):
+        crossover.with_reference_counts(twice, exposure).collect()

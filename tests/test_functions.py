@@ -52,6 +52,8 @@ def test_layouts_by_row_and_by_column(spark):
     assert by_row == [datetime.date(2001, 1, 13), datetime.date(2001, 3, 2), datetime.date(2001, 1, 14)]
     assert dates.column_layout(df, "t") == "dd/MM/yyyy"
     assert dates.column_layout(df.where("false"), "t") is None
+    with pytest.raises(ValueError):
+        dates.column_layout(spark.createDataFrame([("soon",)], "t string"), "t")
 
 
 def test_weekdays_and_weeks(spark):

@@ -68,6 +68,8 @@ def test_split_civil_book_and_one_spelling(spark):
     assert merged.agg(F.sum("CIVIL_DIVORCED_SEPARATED")).first()[0] == 2
     other = split.withColumnRenamed("CIVIL_DIVORCED", "CIVIL_DIVORCED_SEPERATED").drop("CIVIL_SEPARATED")
     assert "CIVIL_DIVORCED_SEPARATED" in mortality.one_spelling(other).columns
+    mixed = spark.createDataFrame([(1, 0, None), (None, None, 1), (None, None, None)], "CIVIL_DIVORCED int, CIVIL_SEPARATED int, CIVIL_DIVORCED_SEPARATED int")
+    assert [r[0] for r in mortality.one_spelling(mixed).select("CIVIL_DIVORCED_SEPARATED").collect()] == [1, 1, 0]
 
 
 def test_families_have_thirty_subgroups():

@@ -25,7 +25,11 @@ def test_years_with_drifting_headers(spark, tmp_path):
     a = write_text(tmp_path / "year=2012" / "a.csv", "ENT_OCURR,MUN_OCURR\n1,2\n")
     b = write_text(tmp_path / "year=2013" / "b.csv", "mun_ocurr,ent_ocurr,EXTRA\n3,4,z\n")
     c = write_text(tmp_path / "year=2014" / "c.csv", "ENT_OCURR,MUN_OCURR\n5,bad\n")
-    df = readers.read_years(spark, [a, b, c, str(tmp_path / "none.csv")], schemas.DEATHS_RAW, tag="path")
+    with pytest.raises(FileNotFoundError):
+        readers.read_years(spark, [a, b, c, str(tmp_path / "none.csv")], schemas.DEATHS_RAW)
+    skipped: list[str] = []
+    df = readers.read_years(spark, [a, b, c, str(tmp_path / "none.csv")], schemas.DEATHS_RAW, tag="path", skipped=skipped)
+    assert skipped == [str(tmp_path / "none.csv")]
     got = {(readers_year, r.ENT_OCURR, r.MUN_OCURR, r.EXTRA) for r in df.withColumn("y", readers.year_in_path("path")).collect() for readers_year in [r.y]}
     assert got == {(2012, 1, 2, None), (2013, 4, 3, "z"), (2014, 5, None, None)}
     with pytest.raises(FileNotFoundError):
@@ -41,8 +45,33 @@ def test_period_from_name(spark, tmp_path):
 
 def test_sections_skip_absent(spark, tmp_path):
     write_text(tmp_path / "Sex" / "s.csv", "Subgroup,Total\nMale,3\n")
-    found = readers.read_sections(spark, str(tmp_path), ["Sex", "Occupation"])
-    assert list(found) == ["Sex"] and found["Sex"].first().Total == "3"
+    with pytest.raises(FileNotFoundError):
+        readers.read_sections(spark, str(tmp_path), ["Sex", "Occupation"])
+    absent: list[str] = []
+    found = readers.read_sections(spark, str(tmp_path), ["Sex", "Occupation"], skipped=absent)
+    assert absent == ["Occupation"] and list(found) == ["Sex"] and found["Sex"].first().Total == "3"
+
+
+def test_files_of_a_folder_are_matched_by_their_own_headers(spark, tmp_path):
+    write_text(tmp_path / "y" / "a.csv", "ENT_OCURR,MUN_OCURR,SEXO\n1,2,1\n")
+    write_text(tmp_path / "y" / "b.csv", "MUN_OCURR,SEXO,ENT_OCURR\n4,2,3\n")
+    expected = {(1, 2, 1), (3, 4, 2)}
+    read = lambda df: {(r.ENT_OCURR, r.MUN_OCURR, r.SEXO) for r in df.collect()}
+    assert read(readers.read_csv(spark, str(tmp_path / "y"), schemas.DEATHS_RAW)) == expected
+    assert read(readers.read_csv(spark, str(tmp_path / "y" / "*.csv"), schemas.DEATHS_RAW)) == expected
+    assert read(readers.read_years(spark, [str(tmp_path / "y")], schemas.DEATHS_RAW)) == expected
+    write_text(tmp_path / "p" / "combined_sum_1998_2002.csv", "date_of_occurrence,ENT_OCURR,MUN_OCURR\n2001-01-05,9,1\n")
+    write_text(tmp_path / "p" / "combined_sum_2003_2007.csv", "MUN_OCURR,ENT_OCURR,date_of_occurrence\n2,8,2004-01-05\n")
+    rows = readers.read_period_files(spark, str(tmp_path / "p"), schemas.DEATHS_DAILY).collect()
+    assert {(r.ENT_OCURR, r.MUN_OCURR, str(r.date_of_occurrence), r.year_period) for r in rows} == {
+        (9, 1, "2001-01-05", "1998-2002"), (8, 2, "2004-01-05", "2003-2007"),
+    }
+
+
+def test_whole_numbers_written_as_floats(spark, tmp_path):
+    path = write_text(tmp_path / "f.csv", "ENT_OCURR,MUN_OCURR\n9.0,2\n1.5,x\n,3\n")
+    rows = readers.read_csv(spark, path, schemas.DEATHS_RAW, misfits="lost").collect()
+    assert [(r.ENT_OCURR, r.MUN_OCURR, r.lost) for r in rows] == [(9, 2, 0), (None, None, 2), (None, 3, 0)]
 
 
 def test_sinks(spark, tmp_path):

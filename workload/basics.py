@@ -50,7 +50,7 @@ def scan_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part, name in ((old, "old"), (new, "new")):
         part.write.option("header", True).partitionBy("year").csv(f"{folder}/{name}")
     paths = [f"{folder}/{name}/year={y}" for name, years in (("old", range(1998, 2012)), ("new", range(2012, 2023))) for y in years]
-    found = readers.read_years(spark, [*paths, f"{folder}/missing"], schemas.DEATHS_RAW, tag="path")
+    found = readers.read_years(spark, [*paths, f"{folder}/missing"], schemas.DEATHS_RAW, tag="path", skipped=[])
     return found.withColumn("REG_YEAR", readers.year_in_path("path")).select(*RAW_NAMES, "AREA_UR", "REG_YEAR")
 
 
