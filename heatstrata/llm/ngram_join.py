@@ -70,7 +70,7 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in words.slices(batches):
         sets = list(_sets(batch.column("text"), size))
         minima = [
             [int(x) for x in (t[:, None] * _MANY).min(axis=0).view(np.int64)] if len(t) else None for t in sets
@@ -88,9 +88,9 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 def _send_first(batches: Iterator[pa.RecordBatch], size: int, percent: int, parts: int) -> Iterator[pa.RecordBatch]:
     width = np.uint64(math.ceil((1 << 64) / parts)) if parts > 1 else None
-    for batch in batches:
+    for batch in words.slices(batches):
         sets = {_digest(t, 1): t for t in _sets(batch.column("text"), size) if len(t)}
-        keys = [t[: _first(len(t), percent, _needed(len(t), percent))] for t in sets.values()]
+        keys = [t[: _first(len(t), percent, _needed(len(t), percent))].copy() for t in sets.values()]
         if not keys:
             continue
         owner = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(k) for k in keys])
@@ -143,7 +143,7 @@ def _add_up(sent: pa.Table) -> pa.Table:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in words.slices(batches):
         sets = list(_sets(batch.column("text"), size))
         yield pa.record_batch(
             {
@@ -299,7 +299,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     store = Stored(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = max(1, blocks.count_blocks(own, "text") // 2)
+    parts = blocks.count_blocks(own, "text")
 
     described = store(own.mapInArrow(functools.partial(_describe, size=size), "doc_id long, n long, cls long, cls2 long, minima array<long>"))
     largest = F.coalesce("doc_id", F.lit((1 << 63) - 1))

@@ -156,3 +156,10 @@ def hash_text(text: str, lower: bool = True, plain: bool = False) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     found = find_words(data, np.array([0, len(data)]), plain)
     return hash_words(data, found, lower)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, to bound what a task holds of them."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
