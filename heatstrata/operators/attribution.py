@@ -46,6 +46,10 @@ def first_per_key(
     return results.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
 
 
+def _period_deaths(deaths: DataFrame) -> DataFrame:
+    return deaths.select("municipality", normal_label(F.col("year_period")).alias("year_period"), "deaths_total")
+
+
 def attributable_by_municipality(
     heat: DataFrame,
     odds: DataFrame,
@@ -73,10 +77,10 @@ def attributable_by_municipality(
         days = F.col("observed_days")
     extra = ["observed_days"] if period_length == "observed" else []
     joined = (
-        heat.select("year_period", "municipality", variable, *extra)
+        heat.select(normal_label(F.col("year_period")).alias("year_period"), "municipality", variable, *extra)
         .withColumn("ENT_OCURR", state_of_id(F.col("municipality"), strict=True))
         .join(chosen, ["ENT_OCURR", "year_period"], "left")
-        .join(deaths.select("municipality", "year_period", "deaths_total"), ["municipality", "year_period"], "left")
+        .join(_period_deaths(deaths), ["municipality", "year_period"], "left")
     )
     exposed = F.col("deaths_total") * F.try_divide(F.col(variable), days)
     return (
@@ -93,14 +97,19 @@ def attributable_by_municipality(
 def collapse_to_state(
     by_municipality: DataFrame, columns: Sequence[str] = ("deaths_total", *AN_NAMES.values())
 ) -> DataFrame:
-    """State sums. An unknown attributable number counts 0; ``n_missing_or`` says how many did."""
+    """State sums. An unknown attributable number counts 0.
+
+    ``n_missing_or`` and ``n_missing_deaths`` say how many municipalities have no odds ratio and how
+    many no count of deaths.
+    """
     columns = list(columns)
     return (
         by_municipality.na.drop(subset=["ENT_OCURR", "year_period"])
         .groupBy("ENT_OCURR", "year_period")
         .agg(
             *[sum_or_zero(F.col(c)).alias(c) for c in columns],
-            F.sum(F.col("AN_deaths_est").isNull().cast("int")).alias("n_missing_or"),
+            F.sum(F.col("OR_point").isNull().cast("int")).alias("n_missing_or"),
+            F.sum(F.col("deaths_total").isNull().cast("int")).alias("n_missing_deaths"),
         )
     )
 
@@ -120,9 +129,9 @@ def attributable_by_state(
         .withColumn("ENT_OCURR", state_of_id(F.col("municipality")))
         .unpivot(["ENT_OCURR", "municipality", "year_period"], list(variables), "hw_definition", "hot_days")
     )
-    joined = hot.join(
-        deaths.select("municipality", "year_period", "deaths_total"), ["municipality", "year_period"], "left"
-    ).join(chosen, ["ENT_OCURR", "year_period", "hw_definition"], "left")
+    joined = hot.join(_period_deaths(deaths), ["municipality", "year_period"], "left").join(
+        chosen, ["ENT_OCURR", "year_period", "hw_definition"], "left"
+    )
     share = F.col("hot_days") / period_days(F.col("year_period"))
     number = share * F.col("deaths_total") * attributable_fraction(F.col("or"))
     return (
@@ -132,5 +141,6 @@ def attributable_by_state(
         .agg(
             sum_or_zero(F.col("_an")).alias("AN_deaths_est"),
             F.sum(F.col("or").isNull().cast("int")).alias("n_missing_or"),
+            F.sum(F.col("deaths_total").isNull().cast("int")).alias("n_missing_deaths"),
         )
     )

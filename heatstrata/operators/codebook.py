@@ -132,6 +132,17 @@ def _lookup(rows: list[tuple[Code, int]]) -> str:
     return f"CASE {' '.join(f'WHEN {test} THEN {number}' for test, number in tests)} END"
 
 
+def years_covered(book=CODE_BOOK) -> tuple[int, int]:
+    return min(r.years[0] for r in book), max(r.years[1] for r in book)
+
+
+def checked_year(year: str, book=CODE_BOOK) -> str:
+    """SQL text: the registration year in a column; an error if it is unknown or the book has no codes for it."""
+    first, last = years_covered(book)
+    message = f"concat('no codes for registration year ', coalesce(string({year}), 'null'))"
+    return f"if(coalesce({year} BETWEEN {first} AND {last}, false), {year}, raise_error({message}))"
+
+
 def bands(year: int | str, book=CODE_BOOK) -> dict[str, str]:
     """SQL text per family: the place of the record's subgroup in its family, null for none.
 
@@ -142,6 +153,9 @@ def bands(year: int | str, book=CODE_BOOK) -> dict[str, str]:
     thirty subgroups do not.
     """
     found: dict[str, str] = {}
+    first, last = years_covered(book)
+    if isinstance(year, int) and not first <= year <= last:
+        raise ValueError(f"no codes for registration year {year}")
     for family, members in families(book).items():
         rows = [(r, members.index(r.subgroup) + 1) for r in book if r.family == family]
 

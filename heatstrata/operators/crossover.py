@@ -118,6 +118,13 @@ def strata(
     return deaths.join(counted, [unit, date])
 
 
+def long_strata(rows: DataFrame, exposures: Sequence[Exposure], keep: Sequence[str]) -> DataFrame:
+    """Strata with one row per known exposure and the columns to keep: a projection."""
+    entry = "struct('{0}' AS variable, '{1}' AS type, `{0}` AS xc, `{0}#n1` AS n1, `{0}#n0` AS n0)"
+    entries = ", ".join(entry.format(x.column, x.type) for x in exposures)
+    return rows.select(*keep, F.expr(f"inline(array({entries}))")).where("xc IS NOT NULL")
+
+
 def stratum_patterns(
     rows: DataFrame,
     exposures: Sequence[Exposure],
@@ -130,12 +137,9 @@ def stratum_patterns(
     Each weight column becomes the total weight of the pattern (``weighted``), or the number of
     its strata with any weight.
     """
-    entry = "struct('{0}' AS variable, '{1}' AS type, `{0}` AS xc, `{0}#n1` AS n1, `{0}#n0` AS n0)"
-    entries = ", ".join(entry.format(x.column, x.type) for x in exposures)
     amount = "CAST(sum(`{0}`) AS DOUBLE) AS `{0}`" if weighted else "CAST(count_if(`{0}` > 0) AS DOUBLE) AS `{0}`"
     return (
-        rows.select(*by, *weights, F.expr(f"inline(array({entries}))"))
-        .where("xc IS NOT NULL")
+        long_strata(rows, exposures, [*by, *weights])
         .groupBy(*by, "variable", "type", "xc", "n1", "n0")
         .agg(*[F.expr(amount.format(w)) for w in weights])
     )

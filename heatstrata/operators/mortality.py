@@ -11,7 +11,7 @@ from heatstrata.functions.dates import date_from_parts
 from heatstrata.functions.indicators import differs_or_null
 from heatstrata.functions.numbers import row_sum, sum_or_zero
 from heatstrata.functions.places import municipality_id
-from heatstrata.operators.codebook import CODE_BOOK, RAW_FIELDS, SPELLINGS, SUBGROUPS, band_flags, bands
+from heatstrata.operators.codebook import CODE_BOOK, RAW_FIELDS, SPELLINGS, SUBGROUPS, band_flags, bands, checked_year
 from heatstrata.operators.columns import numeric_columns, require_columns, upper_names
 
 # Codes that mean "unknown day" and "unknown place".
@@ -36,14 +36,19 @@ def clean_deaths(raw: DataFrame, year: int | str, book=CODE_BOOK) -> DataFrame:
     """Raw death records to date, place and 0/1 indicators: one narrow pass, no shuffle.
 
     ``year`` is the registration year of the file, or the column that holds it. The output columns
-    are listed, not what to drop, so unused raw columns never leak through.
+    are listed, not what to drop, so unused raw columns never leak through. A year that is unknown
+    (null) or outside the code book is an error, since the codes of another era would be wrong.
     """
     df = upper_names(raw)
     require_columns(
         df, ("ENT_OCURR", "MUN_OCURR", "ANIO_OCUR", "MES_OCURR", "DIA_OCURR", *RAW_FIELDS), "death records"
     )
     date = date_from_parts(F.col("ANIO_OCUR"), F.col("MES_OCURR"), F.col("DIA_OCURR"))
-    banded = with_known_place(with_known_day(df)).select(
+    known = with_known_place(with_known_day(df))
+    if isinstance(year, str):
+        known = known.withColumn("_year", F.expr(checked_year(f"`{year}`", book)))
+        year = "_year"
+    banded = known.select(
         date.alias("date_of_occurrence"),
         "ENT_OCURR",
         "MUN_OCURR",
@@ -112,6 +117,17 @@ def daily_total(
     return out.where(F.col(name) > 0) if positive else out
 
 
+def day_total(
+    df: DataFrame,
+    keys: Sequence[str] = ("ENT_OCURR", "municipality", "date"),
+    parts: Sequence[str] = SEX_COLUMNS,
+    name: str = "all_deaths",
+) -> DataFrame:
+    """``daily_total`` of a table with one row per key, such as day sums: a row expression, no shuffle."""
+    out = df.select(*keys, F.coalesce(row_sum([F.col(c) for c in parts], "row"), F.lit(0)).alias(name))
+    return out.where(F.col(name) > 0)
+
+
 def daily_subgroups(
     df: DataFrame,
     subgroups: Iterable[str] = tuple(SUBGROUPS),

@@ -183,6 +183,21 @@ def densify(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return keys.join(table, list(on), "left")
 
 
+def densify_entries(
+    table: DataFrame, groups: Sequence[str], column: str, wanted: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """Every group with every wanted entry of ``column``, in one pass over the table and without a join.
+
+    A group has one row per entry at most; entries without a row get nulls.
+    """
+
+    def cell(entry: str):
+        found = [F.max(F.when(F.col(column) == entry, F.col(f"`{v}`"))).alias(v) for v in values]
+        return F.struct(F.lit(entry).alias(column), *found)
+
+    return table.groupBy(*groups).agg(F.array(*map(cell, wanted)).alias("_cells")).select(*groups, F.inline("_cells"))
+
+
 def key_grid(table: DataFrame, groups: Sequence[str], column: str, wanted: Sequence[str]) -> DataFrame:
     """Every group of the table with every wanted entry: the list is attached, not joined."""
     return table.select(*groups).distinct().withColumn(column, F.explode(F.array(*[F.lit(v) for v in wanted])))

@@ -31,6 +31,8 @@ class HeatStudy:
     spark: SparkSession
     folder: str
     periods: Periods = STUDY_PERIODS
+    #: Lags start anew in each period; else they run over the whole series.
+    lags_by_period: bool = True
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
@@ -56,19 +58,20 @@ class HeatStudy:
     def heat(self, weather: DataFrame) -> DataFrame:
         """Daily weather to thresholds, flags, lags and runs. One shuffle by municipality.
 
-        Exposures that the exported table lacks a lag for get one, over the whole series.
+        Every exposure of a model has a lag of one row, by the rule ``lags_by_period``.
         """
         days = exposure.with_all_indicators(exposure.prepare_weather(weather, self.years()))
-        lags = {f"{c}_lag1": (c, 1) for c in (*EXPOSURES_99, *EXPOSURES_95_90)}
-        days = exposure.add_lags(days, {n: s for n, s in lags.items() if n not in days.columns})
         days = days.withColumn("year_period", period_of_date(F.col("date"), self.periods))
+        lags = {f"{c}_lag1": (c, 1) for c in (*EXPOSURES_99, *EXPOSURES_95_90)}
+        within = ["year_period"] if self.lags_by_period else []
+        days = exposure.add_lags(days.drop(*lags), lags, within=within)
         return self.store(days, "heat_indicators", by_period=True)
 
     def odds_ratios(self) -> dict[str, DataFrame]:
         """The exposure battery, the state models and the subgroup models, each one job."""
         days = self.read("heat_indicators").drop("year_period")
         daily = self.read("deaths_daily")
-        total = mortality.daily_total(daily, KEYS)
+        total = mortality.day_total(daily, KEYS)
         battery = EXPOSURES_99 + EXPOSURES_95_90
         by_subgroup = daily.select(
             *KEYS, *SUBGROUPS, mortality.row_sum([F.col(c) for c in mortality.SEX_COLUMNS]).alias("All")

@@ -113,10 +113,10 @@ def year_in_path(path_column: str) -> Column:
 
 
 def read_period_files(spark: SparkSession, folder: str, known: T.StructType, prefix: str = "combined_sum_") -> DataFrame:
-    """All ``<prefix><first>_<last>`` files of a folder, with ``year_period`` from the name."""
+    """All ``<prefix>*`` files of a folder, with ``year_period`` from names ``<prefix><first>_<last>``, else null."""
     df = read_csv(spark, f"{folder.rstrip('/')}/{prefix}*", known, tag="_file")
     found = F.regexp_extract("_file", prefix + r"(\d{4}_\d{4})", 1)
-    return df.withColumn("year_period", normal_label(found)).drop("_file")
+    return df.withColumn("year_period", normal_label(F.nullif(found, F.lit("")))).drop("_file")
 
 
 def read_sections(

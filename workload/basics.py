@@ -55,13 +55,13 @@ def scan_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_period_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day sums in one CSV folder per period; the period comes back from the folder name."""
+    """Day sums in one CSV folder per period, by one write; the period comes back from the folder name."""
     folder = work_folder(spark)
     daily = deaths_daily(spark, sf_dir).select("date_of_occurrence", "ENT_OCURR", "MUN_OCURR", *mortality.SEX_COLUMNS)
-    for first, last in PERIODS:
-        days = periods.within_periods(F.col("date_of_occurrence"), [(first, last)])
-        writers.write_csv(daily.where(days), f"{folder}/combined_sum_{first}_{last}")
-    return readers.read_period_files(spark, folder, schemas.DEATHS_DAILY)
+    period = F.replace(periods.period_of_date(F.col("date_of_occurrence"), PERIODS), F.lit("-"), F.lit("_"))
+    named = daily.withColumn("combined_sum", F.coalesce(period, F.lit("unknown")))
+    named.write.option("header", True).partitionBy("combined_sum").csv(folder)
+    return readers.read_period_files(spark, folder, schemas.DEATHS_DAILY, prefix="combined_sum=")
 
 
 def split_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ ORACLES = {
     "scan_union_years": RECORDS
     + f"SELECT {', '.join(RAW_NAMES)}, CASE WHEN REG_YEAR >= 2012 THEN '1' END AS AREA_UR, REG_YEAR FROM records",
     "scan_period_from_path": DAILY
-    + f"SELECT date_of_occurrence, ENT_OCURR, MUN_OCURR, {SEXES}, year_period FROM daily WHERE year_period IS NOT NULL",
+    + f"SELECT date_of_occurrence, ENT_OCURR, MUN_OCURR, {SEXES}, year_period FROM daily",
     "split_by_period": DAILY + f"SELECT date, municipality, {SEXES}, year_period FROM daily WHERE year_period IS NOT NULL",
     "project_rename": WEATHER
     + """SELECT municipality, date, round(tmin_max, 9) AS tmin_max, round(tmax_max, 9) AS tmax_max, round(vp, 9) AS vp,

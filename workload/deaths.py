@@ -9,7 +9,7 @@ from heatstrata.functions.indicators import equal_flag, member_flag, prefix_flag
 from heatstrata.operators import mortality, quality
 from heatstrata.operators.codebook import SUBGROUPS
 from workload import sql
-from workload.tables import KEYS, PERIODS, death_records, deaths_by_subgroup, deaths_clean, deaths_daily, deaths_total, heat, weather
+from workload.tables import KEYS, PERIODS, death_records, deaths_by_subgroup, deaths_clean, deaths_daily, heat, weather
 
 DAY_PLACE = ["date_of_occurrence", "ENT_OCURR", "MUN_OCURR"]
 
@@ -68,13 +68,13 @@ def daily_sum_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deaths_total(spark, sf_dir)
+    return mortality.daily_total(deaths_daily(spark, sf_dir), KEYS)
 
 
 def daily_subgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All subgroups side by side, from the clean records by municipality."""
-    clean = mortality.with_municipality(deaths_clean(spark, sf_dir))
-    return mortality.daily_subgroups(clean)
+    """All subgroups side by side. The records are summed by number; a cell gets its id text afterwards."""
+    cells = mortality.daily_subgroups(deaths_clean(spark, sf_dir), keys=DAY_PLACE)
+    return mortality.with_municipality(cells).drop("date_of_occurrence", "MUN_OCURR")
 
 
 def unpivot_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,9 +41,7 @@ def cc_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strata in long form: one row per death-day and known exposure."""
     chosen = same_day(EXPOSURES_BY_SUBGROUP)
     rows = crossover.strata(deaths_total(spark, sf_dir), heat(spark, sf_dir), chosen)
-    return crossover.stratum_patterns(rows, chosen, ["all_deaths"], ["municipality", "date"]).withColumn(
-        "all_deaths", F.col("all_deaths").cast("bigint")
-    )
+    return crossover.long_strata(rows, chosen, ["municipality", "date", "all_deaths"])
 
 
 def cc_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +80,17 @@ def cc_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cc_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model per state, period, exposure and lag."""
-    days = with_lags(heat(spark, sf_dir), EXPOSURES_BY_STATE)
+    """One model per state, period, exposure and lag; lags run over the whole series."""
+    return state_battery(spark, sf_dir, with_lags(heat(spark, sf_dir), EXPOSURES_BY_STATE))
+
+
+def cc_by_state_period_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lags that start anew in each period."""
+    days = with_lags(heat(spark, sf_dir), EXPOSURES_BY_STATE, within=["year_period"]).drop("year_period")
+    return state_battery(spark, sf_dir, days)
+
+
+def state_battery(spark: SparkSession, sf_dir: str, days: DataFrame) -> DataFrame:
     return with_counts_as_integers(
         crossover.odds_ratios(
             deaths_total(spark, sf_dir),
@@ -156,6 +163,7 @@ QUERIES = {
     "cc_battery": cc_battery,
     "cc_by_period": cc_by_period,
     "cc_by_state": cc_by_state,
+    "cc_by_state_period_lags": cc_by_state_period_lags,
     "cc_all_levels": cc_all_levels,
     "cc_by_subgroup": cc_by_subgroup,
     "cc_user_panel": cc_user_panel,
@@ -281,6 +289,12 @@ FROM strata s JOIN total t ON s.municipality = t.municipality AND s.date = t.dat
         weather="with_lags",
         extra=_lagged(EXPOSURES_BY_STATE, "municipality") + ",",
     ),
+    "cc_by_state_period_lags": model_sql(
+        STATE + [(f"{c}_lag1", crossover.LAG_1_DAY) for c in EXPOSURES_BY_STATE],
+        ["ENT_OCURR", "year_period"],
+        weather="with_lags",
+        extra=_lagged(EXPOSURES_BY_STATE, "municipality, year_period") + ",",
+    ),
     "cc_all_levels": state_model_sql(f"SELECT {', '.join(LEVEL_SHOWN)}, {sql.RESULT_VALUES} FROM results"),
     "cc_by_subgroup": subgroup_model_sql(
         f"SELECT {', '.join(SUBGROUP_KEYS)}, variable, type, {sql.RESULT_VALUES} FROM results"

@@ -107,16 +107,15 @@ def densify_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Men and women in every period of a longer list; periods without results are null."""
     results = reports.labelled_odds_ratios(subgroup_results(spark, sf_dir), VARIABLE)
     sexes = results.where((F.col("subgroup_type") == "Sex") & F.col("subgroup").isin("Male", "Female"))
-    grid = reports.key_grid(sexes, ["subgroup"], "year_period", [*LABELS, "2002-2004"])
     return rounded(
-        reports.densify(sexes.select("subgroup", "year_period", "or", "or_low", "or_high"), grid, ["subgroup", "year_period"])
+        reports.densify_entries(sexes, ["subgroup"], "year_period", [*LABELS, "2002-2004"], ["or", "or_low", "or_high"])
     )
 
 
 def sort_custom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subgroups in display order, known ones first."""
-    counted = mortality.unpivot_subgroups(deaths_by_subgroup(spark, sf_dir), ["municipality", "date"])
-    totals = counted.groupBy("subgroup").agg(F.sum("deaths").alias("deaths"))
+    """Subgroups in display order, known ones first. All are summed side by side before they are stacked."""
+    wide = deaths_by_subgroup(spark, sf_dir).agg(*[F.sum(c).alias(c) for c in mortality.SUBGROUPS])
+    totals = mortality.unpivot_subgroups(wide, []).select("subgroup", "deaths")
     wanted = list(SUBGROUP_LABELS)
     placed = totals.withColumn("place", reports.display_order(F.col("subgroup"), wanted))
     return reports.in_custom_order(placed, "subgroup", wanted)
@@ -192,7 +191,8 @@ an AS (
 by_state AS (
  SELECT h.ENT_OCURR, h.year_period, h.hw_definition,
   coalesce(sum(h.days / ({PERIOD_DAYS.format('h.year_period')}) * p.deaths_total * {PAF.format('r."or"')}), 0) AS AN_deaths_est,
-  CAST(sum(CASE WHEN r."or" IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_or
+  CAST(sum(CASE WHEN r."or" IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_or,
+  CAST(sum(CASE WHEN p.deaths_total IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_deaths
  FROM (SELECT ENT_OCURR, year_period, municipality, unnest(['hw_99_max_1', 'hw_95_max_1']) AS hw_definition,
    unnest([hw_99_max_1, hw_95_max_1]) AS days FROM hot) h
  LEFT JOIN results r ON r.level = 'state' AND r.place = h.ENT_OCURR AND r.year_period = h.year_period
@@ -258,14 +258,15 @@ FROM (SELECT *, {AN_POINT} FROM an)"""
     "an_state_collapsed": an_sql(
         f"""SELECT ENT_OCURR, year_period, CAST(coalesce(sum(deaths_total), 0) AS BIGINT) AS deaths_total,
  {", ".join(f"round(coalesce(sum({c}), 0), 6) AS {c}" for c in AN_VALUES)},
- CAST(sum(CASE WHEN AN_deaths_est IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_or
+ CAST(sum(CASE WHEN OR_point IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_or,
+ CAST(sum(CASE WHEN deaths_total IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_deaths
 FROM (SELECT *, {AN_POINT} FROM an) GROUP BY ENT_OCURR, year_period"""
     ),
     "an_state_period": an_sql(
-        "SELECT ENT_OCURR, year_period, hw_definition, round(AN_deaths_est, 6) AS AN_deaths_est, n_missing_or FROM by_state"
+        "SELECT ENT_OCURR, year_period, hw_definition, round(AN_deaths_est, 6) AS AN_deaths_est, n_missing_or, n_missing_deaths FROM by_state"
     ),
     "topk_an_state": an_sql(
-        """SELECT ENT_OCURR, year_period, hw_definition, round(AN_deaths_est, 6) AS AN_deaths_est, n_missing_or
+        """SELECT ENT_OCURR, year_period, hw_definition, round(AN_deaths_est, 6) AS AN_deaths_est, n_missing_or, n_missing_deaths
 FROM by_state ORDER BY round(AN_deaths_est, 6) DESC, ENT_OCURR, year_period, hw_definition LIMIT 12"""
     ),
     "results_select": state_model_sql(

@@ -136,8 +136,8 @@ KEYS = ("ENT_OCURR", "municipality", "date", "year_period")
 
 
 def deaths_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All deaths per municipality-day."""
-    return mortality.daily_total(deaths_daily(spark, sf_dir), KEYS)
+    """All deaths per municipality-day. Day sums have one row per key, so this is a row expression."""
+    return mortality.day_total(deaths_daily(spark, sf_dir), KEYS)
 
 
 def deaths_by_subgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
