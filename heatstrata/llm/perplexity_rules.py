@@ -1,27 +1,27 @@
 """Quality rules: counts of a text, and bands for the perplexity under an n-gram model of the corpus.
 
 The model is a modified Kneser-Ney model over the bytes of a text (A-Z lower-cased, spaces as one),
-one per language, trained on all documents. Spark counts the n-grams; each order is kept as arrays
-sorted by hash, in which scoring looks n-grams up. n-grams seen once are discounted wholly, so that
-a text does not vouch for itself.
+one per language, trained on all documents. Spark counts the n-grams and derives every probability
+by windows over contexts and joins with the shorter order, neither of which has a group of more than
+256 rows. The model is dealt by hash to parts, each a sorted array, however large it is: a block of
+documents asks each part once for its distinct n-grams. n-grams seen once are discounted wholly, so
+that a text does not vouch for itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatstrata.llm import words
+from heatstrata.llm import blocks, words
 from heatstrata.llm.stored import Stored
 
 ORDER = 5
-#: n-grams of an order that the model keeps, the most frequent first. Its size is bounded so.
-MAX_NGRAMS = 2_000_000
 #: Documents with a log perplexity further than this many quartile distances from the median go;
 #: a text of n bytes may be 1 + SHORT / n times as far, as short texts vary more.
 UPPER, LOWER, SHORT = 16.0, 12.0, 300
@@ -88,132 +88,162 @@ def _count(batches: Iterator[pa.RecordBatch], languages: dict) -> Iterator[pa.Re
         yield pa.record_batch([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], names=["ngram", "n"])
 
 
-@dataclass
-class HashArray:
-    """Values by number: hashes sorted, with the first place of each leading-bit value."""
-
-    hashes: np.ndarray
-    values: np.ndarray
-    first: np.ndarray
-    shift: int
-    longest: int
-
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> HashArray:
-        hashes = words.mix(keys)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        bits = max(4, int(len(keys)).bit_length() + 1)
-        first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-        longest = int(np.diff(first, append=len(hashes)).max()) if len(keys) else 0
-        return cls(np.append(hashes, np.uint64(0)), np.append(values[order], values.dtype.type(0)), first, 64 - bits, longest)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys are there."""
-        hashes = words.mix(keys)
-        at = self.first[hashes >> np.uint64(self.shift)]
-        values, there = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
-        left = np.arange(len(keys))
-        for step in range(self.longest):
-            place = np.minimum(at[left] + step, len(self.hashes) - 1)
-            own = self.hashes[place]
-            hit = (own == hashes[left]) & (place < len(self.hashes) - 1)
-            there[left[hit]] = True
-            values[left[hit]] = self.values[place[hit]]
-            left = left[(own < hashes[left]) & (place < len(self.hashes) - 1)]
-            if not len(left):
-                break
-        return values, there
-
-
-@dataclass
-class Model:
-    languages: dict
-    probabilities: list[HashArray]  #: by order, 1 first: log2 of the interpolated probability of an n-gram
-    weights: list[HashArray]  #: by order, 1 first: log2 of what a context leaves to the shorter one
-
-    def score(self, keys: np.ndarray, highest: int = ORDER) -> np.ndarray:
-        """log2 probability of the last byte of each n-gram, its first bytes being the context."""
-        total = np.zeros(len(keys), np.float32)
-        left, language = np.arange(len(keys)), keys >> np.uint64(8 * highest)
-        for order in range(highest, 0, -1):
-            low = np.uint64((1 << (8 * order)) - 1)
-            key = (language[left] << np.uint64(8 * order)) | (keys[left] & low)
-            value, there = self.probabilities[order - 1].get(key)
-            total[left[there]] += value[there]
-            left, key = left[~there], key[~there]
-            if not len(left):
-                return total
-            total[left] += self.weights[order - 1].get(key >> np.uint64(8))[0]
-        total[left] -= 8
-        return total
-
-
-def _kneser_ney(counts: Iterator[pa.Table], languages: dict) -> Model:
-    """counts: by order, 1 first: ngram (language above the bytes) and n, adjusted counts below the highest order."""
-    probabilities: list[HashArray] = []
-    weights: list[HashArray] = []
-    model = Model(languages, probabilities, weights)
-    for order, table in enumerate(counts, 1):
-        keys, n = table["ngram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
-        by_key = np.argsort(keys)
-        keys, n = keys[by_key], n[by_key]
-        if not len(keys):
-            return Model(languages, [HashArray.of(keys, n.astype(np.float32))] * ORDER, [HashArray.of(keys, n.astype(np.float32))] * ORDER)
-        language = keys >> np.uint64(8 * order)
-        discount = np.zeros((len(languages) + 1, 4))
-        for one in np.unique(language).tolist():
-            t = [float(((language == one) & (n == k)).sum()) for k in (1, 2, 3, 4)]
-            y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
-            for k in (2, 3):
-                d = k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.5 * k
-                discount[one, k] = min(max(d, 0.1), k - 0.05)
-            # what was seen once may be the scored text's own, and is no evidence for it
-            discount[one, 1] = 1.0 if order > 1 else 0.5
-        less = discount[language.astype(np.int64), np.minimum(n, 3).astype(np.int64)]
-        context = keys >> np.uint64(8)
-        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        of = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(keys)))
-        total = np.add.reduceat(n, begin)
-        left = np.add.reduceat(less, begin) / total
-        seen = (n > 1) | (order == 1)
-        low = np.uint64((1 << (8 * (order - 1))) - 1)
-        suffix = (language[seen] << np.uint64(8 * (order - 1))) | (keys[seen] & low)
-        shorter = np.exp2(model.score(suffix, order - 1).astype(np.float64))
-        p = (n - less)[seen] / total[of[seen]] + left[of[seen]] * shorter
-        probabilities.append(HashArray.of(keys[seen], np.log2(p).astype(np.float32)))
-        known = left < 1
-        weights.append(HashArray.of(context[begin][known], np.log2(left[known]).astype(np.float32)))
-    return model
-
-
-def _most_frequent(counted: DataFrame) -> DataFrame:
-    """The n-grams of the highest counts, MAX_NGRAMS at most."""
-    if counted.count() <= MAX_NGRAMS:
-        return counted
-    histogram = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
-    kept, least = 0, 10_000
-    for r in histogram:
-        if kept + r["rows"] > MAX_NGRAMS:
-            break
-        kept, least = kept + r["rows"], r["n"]
-    return counted.filter(F.col("n") >= least)
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all documents: all n-grams are counted, the MAX_NGRAMS most frequent of each order are kept."""
+def _discounts(counted: DataFrame, order: int) -> dict[int, list[float]]:
+    """By language what is taken off n-grams of adjusted count 1, 2, and 3 or more."""
+    language = F.shiftright("ngram", 8 * order)
+    rows = counted.groupBy(language.alias("language")).agg(*(F.count_if(F.col("n") == k).alias(f"t{k}") for k in (1, 2, 3, 4)))
+    found = {}
+    for one, *t in rows.collect():
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
+        # what was seen once may be the scored text's own, and is no evidence for it
+        less = [1.0 if order > 1 else 0.5]
+        for k in (2, 3):
+            d = k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.5 * k
+            less.append(min(max(d, 0.1), k - 0.05))
+        found[one] = less
+    return found
+
+
+def _suffix(ngram: Column, order: int) -> Column:
+    """The last order - 1 bytes, below the language."""
+    low = F.lit((1 << (8 * (order - 1))) - 1)
+    return F.shiftleft(F.shiftright(ngram, 8 * order), 8 * (order - 1)).bitwiseOR(ngram.bitwiseAND(low))
+
+
+def _kneser_ney(counted: list[DataFrame]) -> list[DataFrame]:
+    """counted: by order, 1 first: ngram (language above the bytes) and n, adjusted counts below the highest order."""
+    orders: list[DataFrame] = []
+    for order, table in enumerate(counted, 1):
+        less = _discounts(table, order)
+        if not less:
+            return [table.select("ngram", F.lit(0.0).alias("p"), F.lit(0.0).alias("left"))] * len(counted)
+        by_language = F.create_map(*(x for one, d in less.items() for x in (F.lit(one), F.array(*map(F.lit, d)))))
+        own = by_language[F.shiftright("ngram", 8 * order)][F.least("n", F.lit(3)).cast("int") - 1]
+        same_context = Window.partitionBy(F.shiftright("ngram", 8))  # 256 rows at most
+        table = table.withColumn("less", own)
+        table = table.withColumn("total", F.sum("n").over(same_context)).withColumn("left", F.sum("less").over(same_context) / F.col("total"))
+        if orders:
+            shorter = orders[-1].select(F.col("ngram").alias("suffix"), F.col("p").alias("shorter"))
+            table = table.withColumn("suffix", _suffix(F.col("ngram"), order)).join(shorter, "suffix")
+        else:
+            table = table.withColumn("shorter", F.lit(1 / 256))
+        p = (F.col("n") - F.col("less")) / F.col("total") + F.col("left") * F.col("shorter")
+        orders.append(table.select("ngram", p.alias("p"), "left"))
+    return orders
+
+
+def train(docs: DataFrame, languages: dict, text: str = "text", lang: str = "lang") -> list[DataFrame]:
+    """The model of all documents, by order, 1 first: each n-gram that occurs, with the interpolated
+    probability p of its last byte and the share left that its context leaves to the shorter one.
+
+    An n-gram seen once has what its context leaves times its suffix's probability, just as an unseen one.
+    """
     store = Stored(docs.sparkSession)
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    names = sorted((r[0] for r in own.select("lang").distinct().collect()), key=lambda x: (x is None, x or ""))
-    languages = {x: i for i, x in enumerate(names)}
     counted = own.mapInArrow(lambda batches: _count(batches, languages), "ngram long, n long")
-    highest = store(counted.groupBy("ngram").agg(F.sum("n").alias("n")))
-    orders = [highest]
-    for order in range(ORDER - 1, 0, -1):
-        above = orders[-1]
-        key = F.shiftleft(F.shiftright("ngram", 8 * (order + 1)), 8 * order).bitwiseOR(F.col("ngram").bitwiseAND(F.lit((1 << (8 * order)) - 1)))
-        orders.append(store(above.groupBy(key.alias("ngram")).agg(F.count("*").alias("n"))))
-    return _kneser_ney((_most_frequent(t).toArrow() for t in reversed(orders)), languages)
+    orders = [store(counted.groupBy("ngram").agg(F.sum("n").alias("n")))]
+    for order in range(ORDER, 1, -1):
+        orders.append(store(orders[-1].groupBy(_suffix(F.col("ngram"), order).alias("ngram")).agg(F.count("*").alias("n"))))
+    return _kneser_ney(orders[::-1])
+
+
+def _languages(docs: DataFrame) -> dict:
+    names = sorted((r[0] for r in docs.select("lang").distinct().collect()), key=lambda x: (x is None, x or ""))
+    return {x: i for i, x in enumerate(names)}
+
+
+def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each block in a batch as one compressed value."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]).sort_by("block")
+        number = table["block"].to_numpy()
+        begin = blocks.runs(number)
+        packed = []
+        for a, b in zip(begin, [*begin[1:], len(number)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table.slice(a, b - a).combine_chunks())
+            packed.append(blocks.pack(np.frombuffer(sink.getvalue(), np.uint8)))
+        yield pa.record_batch([pa.array(number[begin], pa.int32()), pa.array(packed, pa.binary())], names=["block", "docs"])
+
+
+def _documents(packed: pa.Table) -> Iterator[pa.RecordBatch]:
+    for value in packed["docs"]:
+        yield from pa.ipc.open_stream(pa.py_buffer(blocks.unpack(value.as_py(), np.uint8)))
+
+
+def _parts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of sorted keys by part, in order. n-grams with equal first bytes share a part, which keeps differences small."""
+    part = (words.mix(keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    begin = blocks.runs(part[order])
+    for a, b in zip(begin, [*begin[1:], len(keys)]):
+        yield int(part[order[a]]), order[a:b]
+
+
+_SENT = "part int, block int, keys binary, more binary"
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * 4
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "keys", "more"])
+
+
+def _send_model(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The model's arrays sorted by n-gram, dealt to the parts; as from a block of no number."""
+
+    def send(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(waiting)
+        keys, p = table["ngram"].to_numpy().view(np.uint64), table["p"].to_numpy()
+        order = np.argsort(keys)
+        keys, logs = keys[order], np.log2(p[order]).astype(np.float32)
+        yield from _sent([(part, -1, blocks.pack_sorted(keys[at]), blocks.pack(logs[at])) for part, at in _parts(keys, parts)]).to_batches()
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= 1 << 20:
+            yield from send(waiting)
+            waiting = []
+    if waiting:
+        yield from send(waiting)
+
+
+def _ask(block: int, packed: pa.Table, languages: dict, parts: int) -> pa.Table:
+    """The block's distinct n-grams, once for each part."""
+    keys = np.zeros(0, np.uint64)
+    waiting: list[np.ndarray] = []
+    for batch in _documents(packed):
+        number = np.array([languages[x] for x in batch.column("lang").to_pylist()], np.int64)
+        data, starts = words.text_bytes(batch.column("text"))
+        for first, part, begins in words.chunks(data, starts):
+            waiting.append(np.unique(_ngrams(part, begins, number[first : first + len(begins) - 1])[0]))
+            if sum(map(len, waiting)) > 2_000_000:
+                keys, waiting = np.unique(np.concatenate([keys, *waiting])), []
+    keys = np.unique(np.concatenate([keys, *waiting]))
+    return _sent([(part, block, blocks.pack_sorted(keys[at]), None) for part, at in _parts(keys, parts)])
+
+
+def _answer(sent: pa.Table) -> pa.Table:
+    """For each block the log2 probabilities of the n-grams that it asked for."""
+    own, asked = sent.filter(pc.less(sent["block"], 0)), sent.filter(pc.greater_equal(sent["block"], 0))
+    keys, logs = _lookup(own)
+    rows = []
+    for part, block, packed in zip(*(asked[c].to_pylist() for c in ("part", "block", "keys"))):
+        rows.append((part, block, packed, blocks.pack(logs[np.searchsorted(keys, blocks.unpack_sorted(packed))])))
+    return _sent(rows)
+
+
+def _lookup(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and their values."""
+    pairs = [(blocks.unpack_sorted(k), blocks.unpack(m, np.float32)) for k, m in zip(table["keys"].to_pylist(), table["more"].to_pylist())]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in pairs)])
+    logs = np.concatenate([np.zeros(0, np.float32), *(m for _, m in pairs)])
+    order = np.argsort(keys)
+    return keys[order], logs[order]
 
 
 def _repeats(hashes: np.ndarray, found: words.Words, size: int) -> np.ndarray:
@@ -225,9 +255,7 @@ def _repeats(hashes: np.ndarray, found: words.Words, size: int) -> np.ndarray:
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     change = np.zeros(len(hashes) + 1, np.int64)
     if len(twice):
-        from heatstrata.llm.blocks import member
-
-        hit = begin[member(keyed, twice) >= 0]
+        hit = begin[blocks.member(keyed, twice) >= 0]
         change[hit] += 1
         np.add.at(change, hit + size, -1)
     inside = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
@@ -247,37 +275,48 @@ def _dup_lines(text: str | None) -> int:
 _SCORES = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_perplexity double"
 )
-
-
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        number = np.array([model.value.languages.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)
-        data, starts = words.text_bytes(batch.column("text"))
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for first, part, begins in words.chunks(data, starts):
-            found = words.find_words(part, begins)
-            hashes = words.hash_words(part, found)
-            inside = np.zeros(len(part) + 1, np.int8)
-            np.add.at(inside, found.begin, 1)
-            np.add.at(inside, found.end, -1)
-            letters = (np.cumsum(inside[:-1], dtype=np.int8) > 0) & ((part & 0xC0) != 0x80)
-            keys, text = _ngrams(part, begins, number[first : first + len(begins) - 1])
-            logs = np.bincount(text, model.value.score(keys), len(begins) - 1)
-            chars = np.bincount(text, minlength=len(begins) - 1)
-            columns = (found.counts(), _sum_by_text(letters, begins), _sum_by_text(_SYMBOLS[part], begins), _repeats(hashes, found, 5), chars, logs)
-            for into, values in zip(parts, columns):
-                into.append(values)
-        n_words, word_chars, symbols, repeats, chars, logs = (np.concatenate(p) if p else np.zeros(0) for p in parts)
-        bits = [-float(a) / int(b) if b else None for a, b in zip(logs, chars)]
-        lines = [_dup_lines(t) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch(
-            [
-                batch.column("doc_id"), batch.column("lang"),
-                *(pa.array(np.asarray(x, np.int64)) for x in (n_words, word_chars, symbols)), pa.array(lines, pa.int64()),
-                *(pa.array(np.asarray(x, np.int64)) for x in (repeats, chars)), pa.array(bits, pa.float64()),
-            ],
-            names=[x.split()[0] for x in _SCORES.split(", ")],
-        )
+_SCORED = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in _SCORES.split(", ")])
+
+
+def _score(answers: pa.Table, packed: pa.Table, languages: dict) -> pa.Table:
+    """A row per document of a block."""
+    known, known_logs = _lookup(answers)
+    scored = [_score_batch(batch, known, known_logs, languages) for batch in _documents(packed)]
+    return pa.Table.from_batches(scored, _SCORED) if scored else _SCORED.empty_table()
+
+
+def _score_batch(batch: pa.RecordBatch, known: np.ndarray, known_logs: np.ndarray, languages: dict) -> pa.RecordBatch:
+    number = np.array([languages[x] for x in batch.column("lang").to_pylist()], np.int64)
+    data, starts = words.text_bytes(batch.column("text"))
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for first, part, begins in words.chunks(data, starts):
+        found = words.find_words(part, begins)
+        hashes = words.hash_words(part, found)
+        inside = np.zeros(len(part) + 1, np.int8)
+        np.add.at(inside, found.begin, 1)
+        np.add.at(inside, found.end, -1)
+        letters = (np.cumsum(inside[:-1], dtype=np.int8) > 0) & ((part & 0xC0) != 0x80)
+        keys, text = _ngrams(part, begins, number[first : first + len(begins) - 1])
+        own, where = np.unique(keys, return_inverse=True)
+        place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        if len(own) and not (len(known) and np.array_equal(known[place], own)):
+            raise RuntimeError("a block got no answer for some of its n-grams")
+        logs = np.bincount(text, known_logs[place][where], len(begins) - 1)
+        chars = np.bincount(text, minlength=len(begins) - 1)
+        columns = (found.counts(), _sum_by_text(letters, begins), _sum_by_text(_SYMBOLS[part], begins), _repeats(hashes, found, 5), chars, logs)
+        for into, values in zip(parts, columns):
+            into.append(values)
+    n_words, word_chars, symbols, repeats, chars, logs = (np.concatenate(p) if p else np.zeros(0) for p in parts)
+    bits = [-float(a) / int(b) if b else None for a, b in zip(logs, chars)]
+    lines = [_dup_lines(t) for t in batch.column("text").to_pylist()]
+    return pa.record_batch(
+        [
+            batch.column("doc_id"), batch.column("lang"),
+            *(pa.array(np.asarray(x, np.int64)) for x in (n_words, word_chars, symbols)), pa.array(lines, pa.int64()),
+            *(pa.array(np.asarray(x, np.int64)) for x in (repeats, chars)), pa.array(bits, pa.float64()),
+        ],
+        schema=_SCORED,
+    )
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -292,8 +331,13 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """
     store = Stored(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(train(own, "text", "lang"))
-    scores = store(own.mapInArrow(lambda batches: _score(batches, model), _SCORES))
+    languages, n = _languages(own), blocks.count_blocks(own, "text")
+    model = train(own, languages)[-1].mapInArrow(lambda batches: _send_model(batches, n), _SENT)
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
+    packed = dealt.mapInArrow(_pack_documents, "block int, docs binary").repartition(n, "block")
+    asked = packed.groupBy("block").applyInArrow(lambda key, table: _ask(key[0].as_py(), table, languages, n), _SENT)
+    answers = blocks.per_part(model.unionByName(asked), _answer, _SENT)
+    scores = store(blocks.per_block(answers, packed, lambda _, found, table: _score(found, table, languages), _SCORES))
     long_enough = F.when(F.col("n_chars") >= MIN_CHARS, F.col("log_perplexity"))
     bands = scores.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx(long_enough, [0.25, 0.5, 0.75], 10_000).alias("q"))
     q = [F.col("q")[i] for i in range(3)]

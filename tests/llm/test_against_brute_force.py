@@ -148,12 +148,30 @@ def test_perplexity_rejects_gibberish_and_keeps_prose(spark, docs_of, small):
     assert sum(r.kept for r in good) == len(good)
 
 
+def _kneser_ney_orders(docs_of):
+    docs = docs_of((1, "the cat sat on the mat and the cat sat", "en", "a"), (2, "der hund und der hund", "de", "a"))
+    return [{r.ngram: r for r in t.collect()} for t in perplexity_rules.train(docs, {"de": 0, "en": 1})]
+
+
 def test_model_sums_to_one(docs_of):
-    model = perplexity_rules.train(docs_of((1, "the cat sat on the mat and the cat sat", "en", "a"), (2, "der hund und der hund", "de", "a")))
-    import numpy as np
+    orders = _kneser_ney_orders(docs_of)
+    left = [{k >> 8: r.left for k, r in t.items()} for t in orders]
+
+    def probability(language, text):
+        if not text:
+            return 1 / 256
+        key = language << (8 * len(text)) | int.from_bytes(text, "big")
+        found = orders[len(text) - 1].get(key)
+        return found.p if found else left[len(text) - 1].get(key >> 8, 1.0) * probability(language, text[1:])
+
+    for language, context in ((1, b"the "), (1, b" cat"), (0, b"der "), (1, b"zzzz")):
+        assert abs(sum(probability(language, context + bytes([x])) for x in range(256)) - 1) < 1e-9
+
 
-    base = (np.uint64(model.languages["en"]) << np.uint64(40)) | np.uint64(int.from_bytes(b"the ", "big") << 8)
-    assert abs(np.exp2(model.score(base | np.arange(256, dtype=np.uint64)).astype(float)).sum() - 1) < 1e-3
+def test_ngrams_seen_once_have_what_unseen_ones_have(docs_of):
+    orders = _kneser_ney_orders(docs_of)
+    once = 1 << 40 | int.from_bytes(b"e mat", "big")
+    assert orders[4][once].p == pytest.approx(orders[4][once].left * orders[3][1 << 32 | once & 0xFFFFFFFF].p)
 
 
 def test_mix_targets(docs_of):
