@@ -11,7 +11,8 @@
    partner can have. Shingles are ordered by the groups that hold them, rarest first, so a document
    asks only groups that hold one of its rarest shared ones.
 5. For each group asked, its token union bounds the overlap. Only qualifying groups are opened, and
-   each of their members is compared exactly. Large groups are stored in pieces of similar size.
+   each of their members is compared exactly. Large groups are stored in pieces of similar size; small groups around the
+   same token share a piece.
 
 The exact copies and near copies of a large group never meet each other pairwise: pairs are asked
 only between documents that links do not connect yet.
@@ -260,6 +261,7 @@ def _pack_group(members: pa.Table) -> pa.Table:
             "least": pa.array([min(len(t) for t in sets)], pa.int64()),
             "union_tokens": pa.array([np.unique(np.concatenate(sets)).tobytes()], pa.binary()),
             "members": pa.array([members["cls"].to_pylist()], pa.list_(pa.int64())),
+            "labels": pa.array([members["label"].to_pylist()], pa.list_(pa.int64())),
             "member_tokens": pa.array([members["tokens"].to_pylist()], pa.list_(pa.binary())),
         }
     )
@@ -269,19 +271,21 @@ def _open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     """Links of each query to the members of a group whose token union does not rule them out."""
     for batch in batches:
         links = []
-        for a, blob, least, union, members, sets in zip(
-            *(batch.column(c).to_pylist() for c in ("a", "tokens", "least", "union_tokens", "members", "member_tokens"))
+        for a, label, blob, least, union, members, labels, sets in zip(
+            *(batch.column(c).to_pylist() for c in ("a", "label", "tokens", "least", "union_tokens", "members", "labels", "member_tokens"))
         ):
             query = np.frombuffer(blob, np.uint64)
             most = _common(query, np.frombuffer(union, np.uint64))
             if 100 * most < percent * max(len(query), len(query) + least - most):
                 continue
-            for b, other in zip(members, sets):
+            for b, group, other in zip(members, labels, sets):
+                if group == label:
+                    continue
                 tokens = np.frombuffer(other, np.uint64)
                 if (100 + percent) * min(most, len(tokens)) >= percent * (len(query) + len(tokens)):
                     common = _common(query, tokens)
                     if 100 * common >= percent * (len(query) + len(tokens) - common):
-                        links.append((a, b))
+                        links.append((min(a, b), max(a, b)))  # two pieces may ask each other
         yield pa.record_batch([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -377,31 +381,37 @@ def _between(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, st
     told = told.unionByName(shared.select("block", "keys", "labels"), allowMissingColumns=True)
     asked = store(blocks.per_block(told, dealt, functools.partial(_ask, percent=percent), "cls long, label long, n long, bound long, asked array<long>"))
 
-    # pieces of groups: members of similar size, about PIECE of them
+    # pieces of groups: members of similar size, about PIECE of them. Small groups are gathered by the
+    # token of theirs that most sets ask for, so that sets around one passage are few pieces
     step = F.floor(F.log(F.col("n").cast("double")) * 20).cast("long")
-    live = asked.join(labels.select("cls", "members"), "cls").withColumn("step", step)
-    crowd = live.groupBy("label", "step").agg(F.count("*").alias("crowd"))
+    each = asked.select("cls", F.explode("asked").alias("token"))
+    askers = each.groupBy("token").agg(F.count("*").alias("askers"))
+    lead = each.join(askers, "token").groupBy("cls").agg(F.max(F.struct("askers", "token")).alias("lead"))
+    home = F.when(F.col("members") > PIECE, F.concat_ws("/", F.lit("group"), "label")).otherwise(F.concat_ws("/", F.lit("token"), "lead.token"))
+    live = asked.join(labels.select("cls", "members"), "cls").join(lead, "cls").withColumn("home", home).drop("lead").withColumn("step", step)
+    crowd = live.groupBy("home", "step").agg(F.count("*").alias("crowd"))
     salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("crowd") / PIECE).cast("long"))
-    live = live.join(crowd, ["label", "step"]).withColumn("piece", F.concat_ws("/", "label", "step", salt))
+    live = live.join(crowd, ["home", "step"]).withColumn("piece", F.concat_ws("/", "home", "step", salt))
     live = store(live)
     pieces = live.groupBy("piece").agg(
-        F.first("label").alias("group"), F.first("members").alias("group_members"),
+        F.max(F.struct("members", "label")).alias("last"), F.min("label").alias("low"), F.max("label").alias("high"),
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("bound").alias("most_bound"),
     )
     queries = live.select("cls", "label", "members", "n", "bound", F.explode("asked").alias("token"))
     held = live.select("piece", F.explode("asked").alias("token")).distinct().join(pieces, "piece")
-    smaller = (F.col("members") < F.col("group_members")) | ((F.col("members") == F.col("group_members")) & (F.col("label") < F.col("group")))
+    smaller = F.struct("members", "label") < F.col("last")  # of two sets the one of the smaller group asks
+    other = (F.col("low") < F.col("high")) | (F.col("label") != F.col("low"))
     enough = (100 + percent) * F.least("bound", "most_bound") >= percent * (F.col("n") + F.col("least"))
     sizes = 100 * F.col("most") >= percent * F.col("n")
-    pairs = store(queries.join(held, "token").filter((F.col("label") != F.col("group")) & smaller & enough & sizes).select(F.col("cls").alias("a"), "piece").distinct())
+    pairs = store(queries.join(held, "token").filter(other & smaller & enough & sizes).select(F.col("cls").alias("a"), "label", "piece").distinct())
     opened = pairs.select("piece").distinct()
-    members = _small(store(live.select("cls", "piece").join(opened, "piece"))).join(sets.select("cls", "tokens"), "cls")
+    members = _small(store(live.select("cls", "label", "piece").join(opened, "piece"))).join(sets.select("cls", "tokens"), "cls")
 
     def packed(table: pa.Table) -> pa.Table:
         return _pack_group(table)
 
     groups = members.groupBy("piece").applyInArrow(
-        packed, "piece string, least long, union_tokens binary, members array<long>, member_tokens array<binary>"
+        packed, "piece string, least long, union_tokens binary, members array<long>, labels array<long>, member_tokens array<binary>"
     )
     asking = _small(pairs).join(sets.select(F.col("cls").alias("a"), "tokens"), "a")
     return asking.join(groups, "piece").mapInArrow(functools.partial(_open, percent=percent), "a long, b long")
