@@ -22,12 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; n_chars follows the text.
+    """Documents without later copies of repeated line runs, single lines included; n_chars follows the text.
 
     A document all of whose lines are later copies has no text left and goes; one that had no words
     stays as it is.
     """
-    kept = without_repeated_lines(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    kept = without_repeated_lines(docs, min_words=1).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length).select(*docs.columns)
 

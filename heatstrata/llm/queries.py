@@ -85,7 +85,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = without_repeated_lines(table(spark, sf_dir, "documents"))
+    kept = without_repeated_lines(table(spark, sf_dir, "documents"), min_words=1)
     return kept.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
 
 

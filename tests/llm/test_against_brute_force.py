@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,34 @@ def test_line_runs(docs_of):
         assert got[i].text == "\n".join(x for k, x in enumerate(raw) if k not in gone)
 
 
+def test_line_query_and_stage_leave_no_later_copy(spark, docs_of, sf_dir, small):
+    """Of every line one copy stays, however short it is and however often it occurs."""
+
+    def kept_of(rows):
+        seen: set = set()
+        out = {}
+        for i, t in sorted(rows):
+            lines = []
+            for x in t.split("\n"):
+                key = tuple(WORD.findall(x))
+                if not key or key not in seen:
+                    lines.append(x)
+                if key:
+                    seen.add(key)
+            out[i] = "\n".join(lines)
+        return out
+
+    _, docs = small
+    expected = kept_of([(i, r.text) for i, r in docs.items() if r.text is not None])
+    got = {r.doc_id: r for r in queries.QUERIES["op9_line_dedup"](spark, sf_dir).collect()}
+    assert {i: got[i].kept_sha256 for i in expected} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in expected.items()}
+    rows = [(i, f"own{i} line\nshort one\nown{i} end\n\nshort  one") for i in range(30)] + [(50, "own3 line\nshort one"), (51, "")]
+    expected = kept_of(rows)
+    assert sum("short" in t for t in expected.values()) == 1
+    staged = corpus_pipeline.line_dedup(spark, docs_of(*rows).withColumn("n_chars", F.length("text").cast("long")), sf_dir).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in staged} == {i: (t, len(t)) for i, t in expected.items() if i != 50}
+
+
 def test_leaks_tolerate_substitutions(spark, docs_of):
     rng = random.Random(2)
     items = [(i, " ".join(f"t{i}x{j}" for j in range(n))) for i, n in enumerate((30, 45, 20, 8, 4))]
