@@ -1,9 +1,9 @@
 """Benchmark decontamination with spaced seeds.
 
-Benchmark items and documents are hashed at every word by a few masks of twelve words, each of which
-ignores every third word. One or two substituted words in twelve leave a mask that does not see them.
-Around each hit the words of item and document are compared along the same offset, and the best
-stretch with few substitutions decides.
+Benchmark items and documents are hashed at every word by two short masks. Of a stretch with at least
+MIN_WORDS equal words and at most a quarter unequal ones, three equal words stand in a row, or it is
+two, two and two of eight words: so one of the masks hits each stretch that can decide. Equal words
+are counted along the offset of each hit, and where they suffice the best stretch decides.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from heatstrata.llm import blocks, words
 
-MASKS = ("110110110110", "101101101101", "011011011011")
-SPAN = len(MASKS[0])
+MASKS = ("111", "11011")
 #: Items of fewer words than this are no evidence.
 MIN_WORDS = 6
-#: A stretch must match in this share of its words, and of its item (or in LONG words).
+#: A stretch must match in this share of its words (the masks and the steps of _best are made for it), and of its item (or in LONG words).
 SAME, OF_ITEM, LONG = 0.75, 0.5, 16
+#: Seeds and words compared at a time.
+AT_ONCE = 4_000_000
 #: Benchmark text that is handed to the tasks at a time; a longer benchmark takes several passes.
 PASS_BYTES = 16 << 20
 _RESULT = "doc_id long, item_id long, doc_begin long, doc_end long, n_matched long, n_aligned long, item_words long, coverage double"
@@ -33,7 +34,7 @@ _RESULT = "doc_id long, item_id long, doc_begin long, doc_end long, n_matched lo
 
 @dataclass
 class Seeds:
-    """Hashes of a benchmark: for each mask (or a whole short item) sorted hash, item and place."""
+    """Hashes of a benchmark: for each mask sorted hash, item and place."""
 
     ids: list
     items: list[np.ndarray]
@@ -61,7 +62,7 @@ def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
     for i, item in enumerate(items):
         if len(item) < MIN_WORDS:
             continue
-        for mask in MASKS if len(item) >= SPAN else ("1" * len(item),):
+        for mask in MASKS:
             at = np.arange(len(item) - len(mask) + 1)
             found.setdefault(mask, []).append((_spaced(item, at, mask), np.full(len(at), i), at))
     tables = {}
@@ -72,16 +73,65 @@ def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
     return Seeds(ids, items, tables)
 
 
+def _needed(size: int) -> int:
+    """Equal words that an overlap with an item of so many words must have."""
+    return max(MIN_WORDS, min(LONG, math.ceil(OF_ITEM * size)))
+
+
 def _best(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the largest sum, a match counting 1 and a difference -3 (so that 75 % match)."""
+    """Of the stretches with SAME equal words, the one with most of them, then the shortest and first."""
+    places = np.flatnonzero(same)
+    if not len(places):
+        return 0, 0
+    # a match counts 1 and a difference -3, so that 75 % match where the sum is not negative
     steps = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-    low = np.minimum.accumulate(steps)
-    end = int(np.argmax(steps - low))
-    return int(np.argmin(steps[: end + 1])), end
+    highest = np.maximum.accumulate(steps[::-1])[::-1]
+    end = np.searchsorted(-highest, -steps[places], "right") - 1
+    last = np.searchsorted(places, end) - 1
+    matched = last - np.arange(len(places)) + 1
+    first = int(np.lexsort((places[last] - places, -matched))[0])
+    return int(places[first]), int(places[last[first]]) + 1
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sizes that add up to AT_ONCE at most, or are one larger."""
+    sums, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + AT_ONCE, "right")))
+        yield first, last
+        first = last
+
+
+def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each size."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _distinct(lines: np.ndarray) -> np.ndarray:
+    lines = lines[:, np.lexsort(lines)]
+    new = np.ones(lines.shape[1], bool)
+    new[1:] = (lines[:, 1:] != lines[:, :-1]).any(axis=0)
+    return lines[:, new]
+
+
+def _enough(lines: np.ndarray, item_first: np.ndarray, item_words: np.ndarray, needed: np.ndarray, found: words.Words, hashes: np.ndarray) -> np.ndarray:
+    """The lines (text, item, offset) along which enough words are equal."""
+    text, item, offset = lines
+    a = np.maximum(0, found.text_first[text] - offset)
+    length = np.minimum(np.diff(item_first)[item], found.text_first[text + 1] - offset) - a
+    kept = []
+    for x, y in _pieces(length):
+        sizes = length[x:y]
+        same = hashes[_ragged((offset + a)[x:y], sizes)] == item_words[_ragged((item_first[item] + a)[x:y], sizes)]
+        equal = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+        kept.append(equal >= needed[item[x:y]])
+    return lines[:, np.concatenate(kept)] if kept else lines
 
 
 def _search(batches: Iterator[pa.RecordBatch], seeds: Seeds) -> Iterator[pa.RecordBatch]:
     tables = {m: (blocks.runs(h), h, item, at) for m, (h, item, at) in seeds.tables.items()}
+    item_first = np.concatenate([[0], np.cumsum([len(i) for i in seeds.items])]).astype(np.int64)
+    item_words, needed = np.concatenate(seeds.items), np.array([_needed(len(i)) for i in seeds.items])
     for batch in batches:
         rows = []
         numbers = batch.column("doc_id").to_pylist()
@@ -89,36 +139,37 @@ def _search(batches: Iterator[pa.RecordBatch], seeds: Seeds) -> Iterator[pa.Reco
         for first, part, begins in words.chunks(data, starts):
             found = words.find_words(part, begins, plain=True)
             hashes = words.hash_words(part, found, lower=True)
-            lines = set()
+            lines = [np.zeros((3, 0), np.int64)]
             for mask, (run, table, item, at) in tables.items():
                 begin = _places(found.text_first, len(mask))
                 place = blocks.member(_spaced(hashes, begin, mask), table[run])
                 hit = np.flatnonzero(place >= 0)
-                ends = np.append(run[1:], len(table))
-                times = (ends - run)[place[hit]]
-                word = np.repeat(begin[hit], times)
-                entry = np.repeat(run[place[hit]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                text = np.searchsorted(found.text_first, word, "right") - 1
-                pairs = np.unique(np.stack([text, item[entry], word - at[entry]]), axis=1)
-                lines.update(zip(*pairs.tolist()))
-            rows += _verify(lines, seeds, numbers, first, found, hashes)
+                counts = (np.append(run[1:], len(table)) - run)[place[hit]]
+                for x, y in _pieces(counts):
+                    times = counts[x:y]
+                    word = np.repeat(begin[hit[x:y]], times)
+                    entry = _ragged(run[place[hit[x:y]]], times)
+                    text = np.searchsorted(found.text_first, word, "right") - 1
+                    some = _distinct(np.stack([text, item[entry], word - at[entry]]))
+                    lines.append(_enough(some, item_first, item_words, needed, found, hashes))
+            rows += _verify(_distinct(np.concatenate(lines, axis=1)), seeds, numbers, first, found, hashes)
         columns = list(zip(*rows)) if rows else [()] * 8
         kinds = [pa.int64()] * 7 + [pa.float64()]
         names = [x.split()[0] for x in _RESULT.split(", ")]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _verify(lines: set, seeds: Seeds, numbers: list, first: int, found: words.Words, hashes: np.ndarray) -> list[tuple]:
+def _verify(lines: np.ndarray, seeds: Seeds, numbers: list, first: int, found: words.Words, hashes: np.ndarray) -> list[tuple]:
     """The best overlap of each document and item over the lines hit."""
     best: dict[tuple, tuple] = {}
-    for text, item, offset in lines:
+    for text, item, offset in zip(*lines.tolist()):
         own = seeds.items[item]
         low, high = int(found.text_first[text]), int(found.text_first[text + 1])
         a, b = max(0, low - offset), min(len(own), high - offset)
         same = hashes[offset + a : offset + b] == own[a:b]
         x, y = _best(same)
         matched = int(same[x:y].sum())
-        if y > x and matched >= SAME * (y - x) and matched >= max(MIN_WORDS, min(LONG, math.ceil(OF_ITEM * len(own)))):
+        if matched >= _needed(len(own)):
             row = (matched, -(y - x), -(offset + a + x - low), y - x, len(own))
             if row > best.get((text, item), ()):
                 best[text, item] = row
@@ -135,10 +186,10 @@ def leaks(
 
     Columns doc_id, item_id, doc_begin and doc_end (words of the document), n_matched of n_aligned
     words, item_words, coverage (matched share of the item). Words are runs of letters and digits,
-    A-Z lower-cased. An overlap is the best stretch of one document and item at one offset with at
-    least 75 % equal words, and as many equal words as half the item or 16, and at least 6. Items of
-    fewer than twelve words must occur whole once; those of fewer than six, empty or null never
-    match. Null and empty documents have no overlap. Rows with the same id give rows each; null ids
+    A-Z lower-cased. An overlap is the stretch of one document and item at one offset with most equal
+    words of those with at least 75 % of them; it has as many equal words as half the item or 16, and
+    at least 6. All such stretches are found. Items of fewer than six words, empty or null never match.
+    Null and empty documents have no overlap. Rows with the same id give rows each; null ids
     are kept. An empty benchmark or table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession

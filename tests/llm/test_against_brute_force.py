@@ -144,6 +144,35 @@ def test_leaks_tolerate_substitutions(spark, docs_of):
     assert {r.doc_id for r in kept.collect()} == {d for d in range(40)} - {d for d, _ in expected}
 
 
+def test_leaks_are_all_stretches_of_the_rule(spark, docs_of):
+    """Copies whole and in part with up to a third of the words replaced, against all stretches at all offsets."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"t{i}x{j}" for j in range(n))) for i, n in enumerate((6, 7, 8, 11, 12, 15, 20, 30, 60))]
+    rows = []
+    for d in range(400):
+        w = items[d % len(items)][1].split()
+        a = rng.choice([0, 0, rng.randrange(len(w) // 2 + 1)])
+        w = w[a : rng.choice([len(w), rng.randrange(a, len(w)) + 1])]
+        share, every = rng.choice([0, 0.05, 0.1, 0.2, 0.25, 0.33]), rng.choice([0, 0, 3, 4, 5])
+        w = ["x" if (j % every == every - 1 if every else rng.random() < share) else x for j, x in enumerate(w)]
+        rows.append((d, " ".join([f"n{d}"] * rng.randrange(4) + w + ["end"] * rng.randrange(4))))
+    expected = {}
+    for d, t in rows:
+        doc = t.split()
+        for i, x in items:
+            item = x.split()
+            for offset in range(1 - len(item), len(doc)):
+                same = [0 <= offset + j < len(doc) and doc[offset + j] == y for j, y in enumerate(item)]
+                for a in range(len(item)) if sum(same) >= 6 else ():
+                    for b in range(a + 1, len(item) + 1):
+                        n = sum(same[a:b])
+                        if 4 * n >= 3 * (b - a) and n >= max(6, min(16, -(-len(item) // 2))):
+                            expected[d, i] = max(n, expected.get((d, i), 0))
+    found = decontaminate.leaks(docs_of(*rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_matched for r in found} == expected and 100 < len(expected) < 300
+    assert all(4 * r.n_matched >= 3 * r.n_aligned and r.doc_end - r.doc_begin == r.n_aligned for r in found)
+
+
 def test_leaks_are_the_planted_passages(spark, sf_dir, small):
     _, docs = small
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
