@@ -2,8 +2,9 @@
 
 Of the hashes of all runs of K words, winnowing keeps the least of every WINDOW in a row, so that any
 K + WINDOW - 1 equal words share a fingerprint. The fingerprints of the templates are an inverted index
-of (template, place). Hits of a document on nearby diagonals of a template are one candidate, which
-is aligned word by word inside a band around them.
+of (template, place). Hits of a document on diagonals of a template no wider apart than the band are one
+candidate. It is aligned word by word inside a band around them, again and again beside the words
+already aligned, until no hit is left.
 """
 
 from __future__ import annotations
@@ -85,18 +86,17 @@ def _index(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     return items, hashes[order], item[order], at[order]
 
 
-def _align(template: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
-    """Best local alignment near one diagonal: matched words, first and after-last document word.
+def _align(template: list, doc: list, low: int, high: int, done: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment on diagonals low to high, off the words done: matched words, first and after-last document word.
 
     A match counts 1, a difference or gap -1.
     """
     none = (0, 0, 0, 0)  # score, matched, first, end
-    before, best = [none] * (2 * BAND + 3), none
+    before, best = [none] * (high - low + 3), none
     for i, word in enumerate(template):
         row = [none]
-        for shift in range(-BAND, BAND + 1):
-            j, at = i + offset + shift, shift + BAND + 1
-            if 0 <= j < len(doc):
+        for at, j in enumerate(range(i + low, i + high + 1), 1):
+            if 0 <= j < len(doc) and not done[j]:
                 score, matched, first, _ = before[at]
                 equal = doc[j] == word
                 cell = (score + (1 if equal else -1), matched + equal, first if matched else j, j + 1)
@@ -114,6 +114,32 @@ def _align(template: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int
     return best[1], best[2], best[3]
 
 
+def _alignments(template: np.ndarray, doc: np.ndarray, low: int, high: int, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """All alignments around the diagonals low to high that share no word of the document and match enough; hits: first words."""
+    low, high = low - BAND, high + BAND
+    start = max(0, low)
+    part = doc[start : max(start, high + len(template))].tolist()
+    done, hits = np.zeros(len(part), bool), hits - start
+    while len(hits := hits[~done[hits]]):
+        matched, a, b = _align(template.tolist(), part, low - start, high - start, done)
+        if not matched:
+            return
+        done[a:b] = True
+        if matched >= COVERAGE * len(template):
+            yield matched, a + start, b + start
+
+
+def _clusters(new: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of sorted hits no wider than the band; new: where another text or template begins."""
+    found = []
+    for x, y in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(new)).tolist()):
+        while x < y:
+            end = x + int(np.searchsorted(diagonal[x:y], diagonal[x] + BAND, "right"))
+            found.append((x, end))
+            x = end
+    return found
+
+
 def _scan(batches: Iterator[pa.RecordBatch], names: list[str], texts: list[str]) -> Iterator[pa.RecordBatch]:
     items, table, item_of, at_of = _index(texts)
     run = blocks.runs(table)
@@ -134,20 +160,20 @@ def _scan(batches: Iterator[pa.RecordBatch], names: list[str], texts: list[str])
             text = np.searchsorted(found.text_first, word, "right") - 1
             diagonal = word - found.text_first[text] - at_of[entry]
             order = np.lexsort((diagonal, item_of[entry], text))
-            text, item, diagonal = text[order], item_of[entry][order], diagonal[order]
+            text, item, diagonal, word = text[order], item_of[entry][order], diagonal[order], word[order]
             new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND)
-            by_text: dict[int, list[tuple]] = {}
-            for t, i, d in zip(text[new].tolist(), item[new].tolist(), diagonal[new].tolist()):
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+            by_text: dict[int, set[tuple]] = {}
+            for x, y in _clusters(new, diagonal):
+                t, i = int(text[x]), int(item[x])
                 own = hashes[found.text_first[t] : found.text_first[t + 1]]
-                matched, a, b = _align(items[i], own, d)
-                if matched >= COVERAGE * len(items[i]):
-                    by_text.setdefault(t, []).append((matched, matched / len(items[i]), -i, a, b))
+                for matched, a, b in _alignments(items[i], own, int(diagonal[x]), int(diagonal[y - 1]), word[x:y] - found.text_first[t]):
+                    by_text.setdefault(t, set()).add((matched, matched / len(items[i]), -i, a, b))
             for t, matches in sorted(by_text.items()):
-                taken: list[tuple[int, int]] = []
+                taken = np.zeros(found.text_first[t + 1] - found.text_first[t], bool)
                 for matched, coverage, i, a, b in sorted(matches, reverse=True):
-                    if all(b <= x or a >= y for x, y in taken):
-                        taken.append((a, b))
+                    if not taken[a:b].any():
+                        taken[a:b] = True
                         rows.append((numbers[first + t], names[-i], -i, a, b, matched, len(items[-i]), coverage))
         columns = list(zip(*rows)) if rows else [()] * 8
         kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4, pa.float64()]
@@ -158,9 +184,9 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templa
     """One row per license notice found: doc_id, license, template, doc_begin, doc_end, n_matched, template_words, coverage.
 
     ``templates`` are (license, text) pairs; template is the pair's number. Words are runs of letters
-    and digits, A-Z lower-cased; doc_begin and doc_end count them. A notice is the best alignment of a
-    template near hits, with 70 % of the template's words matched; of notices that overlap in a
-    document the one with more matched words stays. Templates of fewer than three words are never
+    and digits, A-Z lower-cased; doc_begin and doc_end count them. A notice is an alignment of a
+    template near hits, with 70 % of the template's words matched; each of a document's notices is a
+    row, and of those that overlap the one with more matched words stays. Templates of fewer than three words are never
     found. Null and empty texts have none. Repeated rows give rows each; null ids are kept; an empty
     table or no templates give no rows. Other columns are ignored.
     """

@@ -291,6 +291,19 @@ def test_license_notices(docs_of):
     assert found[3, "Apache-2.0"].template == 1 and 0.8 < found[3, "Apache-2.0"].coverage < 1
 
 
+def test_each_license_notice_is_a_row(docs_of):
+    """Notices in a row, every few words, and after a chain of partial hits."""
+    mit, apache = license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[1][1]
+    size = {t: len(re.findall("[0-9A-Za-z]+", t)) for t in (mit, apache)}
+    partial = "you may not use this thing "
+    texts = {i: " ".join(f"{mit} {'x ' * i}" for _ in range(12)) for i in range(12)}
+    texts[20] = partial * 6 + apache + " " + "y " * 5 + apache
+    expected = {(i, k * (size[mit] + i), k * (size[mit] + i) + size[mit]) for i in range(12) for k in range(12)}
+    expected |= {(20, 36, 36 + size[apache]), (20, 41 + size[apache], 41 + 2 * size[apache])}
+    found = license_scan.licenses(docs_of(*texts.items())).collect()
+    assert {(r.doc_id, r.doc_begin, r.doc_end) for r in found if r.coverage == 1} == expected and len(found) == len(expected)
+
+
 def test_license_lines_of_the_table(spark, sf_dir, small):
     _, docs = small
     found = {r.doc_id for r in queries.QUERIES["op7_license_scan"](spark, sf_dir).collect()}
