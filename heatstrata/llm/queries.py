@@ -11,6 +11,7 @@ from heatstrata.llm.chat_format import format_chats, read_loss, read_turns
 from heatstrata.llm.decontaminate import leaks
 from heatstrata.llm.license_scan import licenses
 from heatstrata.llm.line_dedup import without_repeated_lines
+from heatstrata.llm.merkle_manifest import merkle_manifest
 from heatstrata.llm.mixing import mix_sources
 from heatstrata.llm.ngram_join import similar_documents
 from heatstrata.llm.perplexity_rules import quality
@@ -94,6 +95,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 #: Words of DuckDB: runs of anything but the six ASCII spaces.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -128,3 +134,47 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Levels of all trees one after another, enough for 16**levels documents a source and as many sources.
+
+    t holds the trees of the sources and u the tree above them; ts and us hold the siblings of each node.
+    """
+    field = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    ops = "list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda x: list_concat([CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(x AS BIGINT), 1)) AS BIGINT)], repeat([-1::BIGINT], 8)))"
+    step = "CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], flatten({ops})), lambda c, b: {step}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS g FROM documents)",
+        "a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS ti FROM d)",
+        "t0 AS (SELECT source AS k, ti AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM a)",
+    ]
+    for t in "tu":
+        if t == "u":
+            steps.append(f"u0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, k AS source FROM t{levels})")
+        for x in range(levels):
+            run = "CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END"
+            steps.append(f"{t}{x + 1} AS (SELECT k, i // 16 AS i, {run} AS h, (n + 15) // 16 AS n FROM {t}{x} GROUP BY k, i // 16, n)")
+            side = "coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN {}), '')"
+            before, after = side.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), side.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            steps.append(f"{t}s{x} AS (SELECT k, i, {before} AS l, {after} AS r FROM {t}{x} WHERE n > 1)")
+    places = [(t, x) for t in "tu" for x in range(levels)]
+    on = {"t": "{0}.k IS NOT DISTINCT FROM a.source AND {0}.i = a.ti // {1}", "u": "{0}.i = u0.i // {1}"}
+    joins = " ".join(f"LEFT JOIN {t}s{x} ON " + on[t].format(f"{t}s{x}", 16**x) for t, x in places)
+    proof = " || ".join(f"coalesce({t}s{x}.l || {t}s{x}.r, '')" for t, x in places)
+    sides = ", ".join(f"{t}s{x}.l AS l{t}{x}, {t}s{x}.r AS r{t}{x}" for t, x in places)
+    steps.append(
+        f"f AS (SELECT doc_id, leaf, u0.h AS subroot, (SELECT h FROM u{levels}) AS root, sha256({proof}) AS proof_sha256, g, {sides} "
+        f"FROM a JOIN u0 ON u0.source IS NOT DISTINCT FROM a.source {joins})"
+    )
+    last = "f"
+    for t, x in places:
+        steps.append(f"f{t}{x} AS (SELECT * REPLACE (CASE WHEN l{t}{x} IS NULL THEN g ELSE sha256(l{t}{x} || g || r{t}{x}) END AS g) FROM {last})")
+        last = f"f{t}{x}"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, g AS folded_root, g = root AS verified FROM {last}"
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
