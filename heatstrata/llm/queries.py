@@ -11,6 +11,7 @@ from heatstrata.llm.chat_format import format_chats, read_loss, read_turns
 from heatstrata.llm.decontaminate import leaks
 from heatstrata.llm.license_scan import licenses
 from heatstrata.llm.line_dedup import without_repeated_lines
+from heatstrata.llm.lsh_forest import near_copies
 from heatstrata.llm.merkle_manifest import merkle_manifest
 from heatstrata.llm.mixing import mix_sources
 from heatstrata.llm.ngram_join import similar_documents
@@ -95,6 +96,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
@@ -119,23 +125,30 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLES["op1_ngram_jaccard_join"] = r"""
+
+def _jaccard_sql(size: int, more: str = "") -> str:
+    """Components of documents whose sets of word shingles have a Jaccard similarity of 80 percent."""
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS h
-      FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [1] ELSE range(1, len(w) - 3) END) AS i FROM d)),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + {size - 1}], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [1] ELSE range(1, len(w) - {size - 2}) END) AS i FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS (
   SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL)
   JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
 reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = to_id)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id{more}
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
 
 
+ORACLES["op1_ngram_jaccard_join"] = _jaccard_sql(5)
+ORACLES["op12_lsh_forest"] = _jaccard_sql(4, ", d.doc_id = component_id AS kept")
+
+
 def _merkle_sql(levels: int = 6) -> str:
     """Levels of all trees one after another, enough for 16**levels documents a source and as many sources.
 
