@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heatstrata.llm.chat_format import format_chats, read_loss, read_turns
 from heatstrata.llm.decontaminate import leaks
+from heatstrata.llm.hard_negatives import hard_negatives
 from heatstrata.llm.license_scan import licenses
 from heatstrata.llm.line_dedup import without_repeated_lines
 from heatstrata.llm.lsh_forest import near_copies
@@ -96,6 +97,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 @_query
 def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
@@ -191,3 +198,24 @@ def _merkle_sql(levels: int = 6) -> str:
 
 
 ORACLES["op13_merkle_manifest"] = _merkle_sql()
+
+ORACLES["op11_hard_negatives"] = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pos AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid ORDER BY positive_score DESC, positive_id) AS slot
+    FROM (SELECT a.rid, a.vec_id AS anchor_id, a.label, a.v, b.vec_id AS positive_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS positive_score
+          FROM r a JOIN r b ON a.label = b.label AND a.rid <> b.rid WHERE a.vec_id % 100 = 0))
+  WHERE slot <= 5),
+neg AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, slot ORDER BY negative_score DESC, negative_id) AS rank
+  FROM (SELECT p.rid, p.slot, p.anchor_id, p.positive_id, p.positive_score, n.vec_id AS negative_id, CAST(list_inner_product(p.v, n.v) AS BIGINT) AS negative_score
+        FROM pos p JOIN r n ON n.label <> p.label)
+  WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
