@@ -89,16 +89,18 @@ def with_reference_counts(
 
     The window keys start with the unit, so a table already partitioned by unit is not shuffled. A
     unit with two rows for one day is an error: in the same window, the days as bits must add up to
-    what they are together.
+    what they are together. That is looked at once a row, where the date is handed on.
     """
     over = f"OVER (PARTITION BY `{unit}`, year(`{date}`), month(`{date}`), weekday(`{date}`))"
     bit = f"shiftleft(1L, day(`{date}`))"
-    once = f"(sum({bit}) {over} <=> bit_or({bit}) {over})"
-    counts = {}
-    for x in exposures:
-        for place, value in (("n1", f"`{x.column}`"), ("n0", f"1 - `{x.column}`")):
-            counts[f"{x.column}#{place}"] = F.expr(f"if({once}, CAST(sum({value}) {over} AS INT), raise_error('two rows for one unit and day'))")
-    return weather.withColumns(counts)
+    counts = {
+        f"{x.column}#{place}": F.expr(f"CAST(sum({value}) {over} AS INT)")
+        for x in exposures
+        for place, value in (("n1", f"`{x.column}`"), ("n0", f"1 - `{x.column}`"))
+    }
+    once = F.expr(f"sum({bit}) {over} <=> bit_or({bit}) {over}")
+    counted = weather.withColumns({**counts, "_once": once})
+    return counted.withColumn(date, F.expr(f"if(_once, `{date}`, raise_error('two rows for one unit and day'))")).drop("_once")
 
 
 def strata(
@@ -113,11 +115,26 @@ def strata(
     A death-day without weather on the same day has no case row and adds nothing to a
     conditional likelihood, hence the inner join.
     """
-    needed = [c for x in exposures for c in (x.column, f"{x.column}#n1", f"{x.column}#n0")]
-    counted = with_reference_counts(weather, exposures, unit, date).select(unit, date, *needed)
+    counted = with_reference_counts(weather, exposures, unit, date).select(unit, date, *stratum_columns(exposures))
     return deaths.join(counted, [unit, date])
 
 
+def stratum_columns(exposures: Sequence[Exposure]) -> list[str]:
+    """The columns that strata have of each exposure."""
+    return [c for x in exposures for c in (x.column, f"{x.column}#n1", f"{x.column}#n0")]
+
+
+def one_row_a_day(deaths: DataFrame, unit: str = "municipality", date: str = "date") -> DataFrame:
+    """The same table, with an error where a unit has two rows for one day: they would count as two strata.
+
+    Partitioned by the unit, so next to other work by unit it costs no shuffle. Rows without unit or
+    date match no day and are not looked at.
+    """
+    several = f"count(*) OVER (PARTITION BY `{unit}`, `{date}`) > 1 AND `{unit}` IS NOT NULL AND `{date}` IS NOT NULL"
+    counted = deaths.withColumn("_several", F.expr(several))
+    return counted.withColumn(date, F.expr(f"if(_several, raise_error('two death rows for one unit and day'), `{date}`)")).drop("_several")
+
+
 def long_strata(rows: DataFrame, exposures: Sequence[Exposure], keep: Sequence[str]) -> DataFrame:
     """Strata with one row per known exposure and the columns to keep: a projection."""
     entry = "struct('{0}' AS variable, '{1}' AS type, `{0}` AS xc, `{0}#n1` AS n1, `{0}#n0` AS n0)"
@@ -131,20 +148,30 @@ def stratum_patterns(
     weights: Sequence[str],
     by: Sequence[str] = (),
     weighted: bool = True,
+    squares: bool = False,
 ) -> DataFrame:
     """Collapse strata to patterns: one row per group, exposure and (xc, n1, n0).
 
     Each weight column becomes the total weight of the pattern (``weighted``), or the number of
-    its strata with any weight.
+    its strata with any weight. ``squares`` adds the sum of squared weights as ``<weight>#2``, which
+    the robust variance needs. All of them are sums, so patterns of disjoint days can be added up.
     """
-    amount = "CAST(sum(`{0}`) AS DOUBLE) AS `{0}`" if weighted else "CAST(count_if(`{0}` > 0) AS DOUBLE) AS `{0}`"
+    amounts = ["CAST(sum(`{0}`) AS DOUBLE) AS `{0}`" if weighted else "CAST(count_if(`{0}` > 0) AS DOUBLE) AS `{0}`"]
+    if squares:
+        amounts.append(f"CAST({'sum(`{0}` * `{0}`)' if weighted else 'count_if(`{0}` > 0)'} AS DOUBLE) AS `{{0}}#2`")
     return (
         long_strata(rows, exposures, [*by, *weights])
         .groupBy(*by, "variable", "type", "xc", "n1", "n0")
-        .agg(*[F.expr(amount.format(w)) for w in weights])
+        .agg(*[F.expr(amount.format(w)) for w in weights for amount in amounts])
     )
 
 
+def add_patterns(patterns: DataFrame, by: Sequence[str], weights: Sequence[str]) -> DataFrame:
+    """The patterns of several disjoint parts, added up; ``by`` keeps groups apart."""
+    sums = [c for w in weights for c in (w, f"{w}#2") if c in patterns.columns]
+    return patterns.groupBy(*by, "variable", "type", "xc", "n1", "n0").agg(*[F.sum(f"`{c}`").alias(c) for c in sums])
+
+
 def unpivot_weights(
     patterns: DataFrame, families: Mapping[str, str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -182,6 +209,10 @@ _DERIVATIVES = """aggregate(
         'score', t.score + c.w * (c.xc * c.n0 - (1 - c.xc) * c.n1 * {r}) / (c.n0 + c.n1 * {r}),
         'information', t.information + c.w * c.n1 * {r} * c.n0 / power(c.n0 + c.n1 * {r}, 2)))"""
 
+# Sum of squared score residuals of the strata, each stratum being one independent observation.
+_SQUARED_SCORES = """aggregate(
+    cells, 0D, (t, c) -> t + c.w2 * power((c.xc * c.n0 - (1 - c.xc) * c.n1 * {r}) / (c.n0 + c.n1 * {r}), 2))"""
+
 # One Newton step, kept inside an interval known to hold the root of the falling score. A solved
 # model is passed on as it is.
 _STEP = f"""if(s.done, s, transform(
@@ -205,10 +236,10 @@ _SOLUTION = f"""transform(
         named_struct(
             'b', 0D, 'r', 1D, 'low', double(-{FARTHEST_ESTIMATE}), 'high', double({FARTHEST_ESTIMATE}), 'done', false),
         (s, i) -> {_STEP},
-        s -> named_struct('estimate', s.b, 'information', ({_DERIVATIVES.format(r="s.r")}).information)))"""
+        s -> named_struct('estimate', s.b, 'information', ({_DERIVATIVES.format(r="s.r")}).information{{more}})))"""
 
 
-def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
+def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w", robust: bool = False) -> DataFrame:
     """Conditional log odds ratio of every group of patterns, with its standard error.
 
     A group holds at most a few dozen patterns, so gathering it in one row is safe. Strata whose
@@ -216,11 +247,19 @@ def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
     case day is always (or never) the exposed one, no finite estimate exists: the estimate is null
     and ``converged`` is false.
 
+    ``robust`` adds ``robust_se``, the sandwich estimate with each stratum as one observation: the
+    square root of the sum of (weight * score residual)**2, over the information. It needs patterns
+    made with ``squares``. Limits, z and p stay with the model-based error.
+
     The solution is unpacked with a generator. The optimizer moves no filter on a result column
     below a generator, so the iterations are never repeated inside such a filter.
     """
     informative = "n1 > 0 AND n0 > 0"
     cell = "struct(double(xc) AS xc, double(n1) AS n1, double(n0) AS n0, w)"
+    more = ""
+    if robust:
+        cell = f"struct(double(xc) AS xc, double(n1) AS n1, double(n0) AS n0, w, double(`{weight}#2`) AS w2)"
+        more = f", 'squares', {_SQUARED_SCORES.format(r='s.r')}"
     models = (
         patterns.withColumn("w", F.expr(f"double(`{weight}`)"))
         .where("w > 0")
@@ -233,7 +272,7 @@ def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
         )
         .withColumn("converged", F.expr("_exposed > 0 AND _exposed < n_informative"))
     )
-    solved = models.select("*", F.expr(f"inline_outer(CASE WHEN converged THEN {_SOLUTION} END)"))
+    solved = models.select("*", F.expr(f"inline_outer(CASE WHEN converged THEN {_SOLUTION.format(more=more)} END)"))
     measured = solved.withColumn("std_error", F.expr("1 / sqrt(information)")).withColumn(
         "statistic", F.expr("estimate / std_error")
     )
@@ -241,6 +280,7 @@ def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
         *by,
         "estimate",
         "std_error",
+        *([F.expr("sqrt(squares) / information AS robust_se")] if robust else []),
         "statistic",
         *[c.alias(n) for n, c in odds_ratio_columns(F.col("estimate"), F.col("std_error")).items()],
         two_sided_p("statistic").alias("p_value"),
@@ -250,6 +290,46 @@ def fit(patterns: DataFrame, by: Sequence[str], weight: str = "w") -> DataFrame:
     )
 
 
+def models(
+    rows: DataFrame,
+    exposures: Sequence[Exposure],
+    by: Sequence[str] = (),
+    weight: str = "all_deaths",
+    weighted: bool = True,
+    robust: bool = False,
+) -> DataFrame:
+    """One model per group in ``by`` and exposure, from strata (made now or stored)."""
+    patterns = stratum_patterns(rows, exposures, [weight], by, weighted, robust)
+    return fit(patterns, [*by, "variable", "type"], weight, robust)
+
+
+def models_by_place(
+    rows: DataFrame,
+    exposures: Sequence[Exposure],
+    place: str = "ENT_OCURR",
+    by: Sequence[str] = (),
+    weight: str = "all_deaths",
+    weighted: bool = True,
+) -> DataFrame:
+    """Models of every place and of all places, from one pass over the strata."""
+    patterns = stratum_patterns(rows, exposures, [weight], [place, *by], weighted)
+    levels = add_overall_level(patterns, place, by, weight)
+    return fit(levels, ["level", place, *by, "variable", "type"], weight)
+
+
+def models_by_subgroup(
+    rows: DataFrame,
+    exposures: Sequence[Exposure],
+    families: Mapping[str, str],
+    by: Sequence[str] = (),
+    weighted: bool = True,
+) -> DataFrame:
+    """Models of every subgroup; ``families`` maps each weight column to its family."""
+    patterns = stratum_patterns(rows, exposures, list(families), by, weighted)
+    long = unpivot_weights(patterns, families, by)
+    return fit(long, [*by, "subgroup_type", "subgroup", "variable", "type"])
+
+
 def odds_ratios(
     deaths: DataFrame,
     weather: DataFrame,
@@ -259,11 +339,10 @@ def odds_ratios(
     weighted: bool = True,
     unit: str = "municipality",
     date: str = "date",
+    robust: bool = False,
 ) -> DataFrame:
-    """One model per group in ``by`` and exposure; ``by`` are columns of the deaths table."""
-    rows = strata(deaths, weather, exposures, unit, date)
-    patterns = stratum_patterns(rows, exposures, [weight], by, weighted)
-    return fit(patterns, [*by, "variable", "type"], weight)
+    """``models`` of deaths and weather; ``by`` are columns of the deaths table."""
+    return models(strata(deaths, weather, exposures, unit, date), exposures, by, weight, weighted, robust)
 
 
 def odds_ratios_by_place(
@@ -277,11 +356,8 @@ def odds_ratios_by_place(
     unit: str = "municipality",
     date: str = "date",
 ) -> DataFrame:
-    """Models of every place and of all places, from one pass over the strata."""
-    rows = strata(deaths, weather, exposures, unit, date)
-    patterns = stratum_patterns(rows, exposures, [weight], [place, *by], weighted)
-    levels = add_overall_level(patterns, place, by, weight)
-    return fit(levels, ["level", place, *by, "variable", "type"], weight)
+    """``models_by_place`` of deaths and weather."""
+    return models_by_place(strata(deaths, weather, exposures, unit, date), exposures, place, by, weight, weighted)
 
 
 def odds_ratios_by_subgroup(
@@ -294,11 +370,8 @@ def odds_ratios_by_subgroup(
     unit: str = "municipality",
     date: str = "date",
 ) -> DataFrame:
-    """Models of every subgroup; ``families`` maps each weight column to its family."""
-    rows = strata(deaths, weather, exposures, unit, date)
-    patterns = stratum_patterns(rows, exposures, list(families), by, weighted)
-    long = unpivot_weights(patterns, families, by)
-    return fit(long, [*by, "subgroup_type", "subgroup", "variable", "type"])
+    """``models_by_subgroup`` of deaths and weather."""
+    return models_by_subgroup(strata(deaths, weather, exposures, unit, date), exposures, families, by, weighted)
 
 
 # Published names of the result columns that a CSV reader may expect.

@@ -18,10 +18,12 @@ from heatstrata.operators.codebook import SUBGROUPS
 from heatstrata.operators.crossover import (
     EXPOSURES_95_90, EXPOSURES_99, EXPOSURES_BY_STATE, EXPOSURES_BY_SUBGROUP, lag_1_day, same_day,
 )
-from heatstrata.sources import readers, schemas, writers
+from heatstrata.sources import bucketed, readers, schemas, writers
 
 KEYS = ("ENT_OCURR", "municipality", "date", "year_period")
 FAMILIES = {"All": "All", **SUBGROUPS}
+#: Every exposure of a model, the day itself and the day before.
+BATTERY = same_day(EXPOSURES_99 + EXPOSURES_95_90) + lag_1_day(EXPOSURES_99 + EXPOSURES_95_90)
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,8 @@ class HeatStudy:
     periods: Periods = STUDY_PERIODS
     #: Lags start anew in each period; else they run over the whole series.
     lags_by_period: bool = True
+    #: Buckets of the tables by municipality; by default as many as the session's shuffle partitions.
+    buckets: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
@@ -44,6 +48,14 @@ class HeatStudy:
         writers.write_table(df, self.path(name), ["year_period"] if by_period else [])
         return self.read(name)
 
+    def store_by_unit(self, df: DataFrame, name: str) -> DataFrame:
+        """Stored in buckets of the municipality and folders of the period, by day."""
+        n = self.buckets or bucketed.default_buckets(self.spark)
+        return bucketed.write_bucketed(df, self.path(name), "municipality", n, ["date"], ["year_period"])
+
+    def by_unit(self, name: str) -> DataFrame:
+        return bucketed.open_bucketed(self.spark, self.path(name))
+
     def years(self) -> tuple[int, int]:
         return min(p[0] for p in self.periods), max(p[1] for p in self.periods)
 
@@ -53,38 +65,42 @@ class HeatStudy:
         raw = raw.withColumn("SOURCE_YEAR", readers.year_in_path("source_path"))
         daily = mortality.with_municipality(mortality.daily_sums(mortality.clean_deaths(raw, "SOURCE_YEAR")))
         daily = daily.withColumn("year_period", period_of_date(F.col("date"), self.periods))
-        return self.store(daily, "deaths_daily", by_period=True)
+        return self.store_by_unit(daily, "deaths_daily")
 
     def heat(self, weather: DataFrame) -> DataFrame:
-        """Daily weather to thresholds, flags, lags and runs. One shuffle by municipality.
+        """Daily weather to thresholds, flags, lags and runs. One shuffle by municipality, as the table is stored.
 
         Every exposure of a model has a lag of one row, by the rule ``lags_by_period``.
         """
-        days = exposure.with_all_indicators(exposure.prepare_weather(weather, self.years()))
+        dealt = exposure.prepare_weather(weather, self.years()).repartition(self.buckets or bucketed.default_buckets(self.spark), "municipality")
+        days = exposure.with_all_indicators(dealt)
         days = days.withColumn("year_period", period_of_date(F.col("date"), self.periods))
         lags = {f"{c}_lag1": (c, 1) for c in (*EXPOSURES_99, *EXPOSURES_95_90)}
         within = ["year_period"] if self.lags_by_period else []
         days = exposure.add_lags(days.drop(*lags), lags, within=within)
-        return self.store(days, "heat_indicators", by_period=True)
+        return self.store_by_unit(days, "heat_indicators")
+
+    def strata(self) -> DataFrame:
+        """Every death-day with the reference counts of all exposures and the deaths of all subgroups. No shuffle.
+
+        Both tables lie in buckets of the municipality, which serve the window, the join and this table.
+        A unit with two rows for one day, of weather or of deaths, is an error.
+        """
+        days = self.by_unit("heat_indicators").drop("year_period")
+        daily = crossover.one_row_a_day(self.by_unit("deaths_daily"))
+        sexes = [F.col(c) for c in mortality.SEX_COLUMNS]
+        weights = {"All": mortality.row_sum(sexes), "all_deaths": F.coalesce(mortality.row_sum(sexes, "row"), F.lit(0))}
+        with bucketed.joined_by_bucket(self.spark):
+            rows = crossover.strata(daily.select(*KEYS, *SUBGROUPS, *[c.alias(n) for n, c in weights.items()]), days, BATTERY)
+            return self.store_by_unit(rows, "strata")
 
     def odds_ratios(self) -> dict[str, DataFrame]:
-        """The exposure battery, the state models and the subgroup models, each one job."""
-        days = self.read("heat_indicators").drop("year_period")
-        daily = self.read("deaths_daily")
-        total = mortality.day_total(daily, KEYS)
-        battery = EXPOSURES_99 + EXPOSURES_95_90
-        by_subgroup = daily.select(
-            *KEYS, *SUBGROUPS, mortality.row_sum([F.col(c) for c in mortality.SEX_COLUMNS]).alias("All")
-        )
-        period = ["year_period"]
+        """The exposure battery, the state models and the subgroup models: each one job that reads the stored strata."""
+        rows, period = self.by_unit("strata"), ["year_period"]
         tables = {
-            "odds_battery": crossover.odds_ratios(total, days, same_day(battery) + lag_1_day(battery), by=period),
-            "odds_by_state": crossover.odds_ratios_by_place(
-                total, days, same_day(EXPOSURES_BY_STATE) + lag_1_day(EXPOSURES_BY_STATE), by=period
-            ),
-            "odds_by_subgroup": crossover.odds_ratios_by_subgroup(
-                by_subgroup, days, same_day(EXPOSURES_BY_SUBGROUP), FAMILIES, by=period
-            ),
+            "odds_battery": crossover.models(rows, BATTERY, by=period),
+            "odds_by_state": crossover.models_by_place(rows, same_day(EXPOSURES_BY_STATE) + lag_1_day(EXPOSURES_BY_STATE), by=period),
+            "odds_by_subgroup": crossover.models_by_subgroup(rows, same_day(EXPOSURES_BY_SUBGROUP), FAMILIES, by=period),
         }
         return {name: self.store(df, name) for name, df in tables.items()}
 
@@ -123,4 +139,5 @@ class HeatStudy:
 
     def run(self, death_paths: Sequence[str], weather: DataFrame) -> dict[str, DataFrame]:
         found = {"deaths_daily": self.deaths(death_paths), "heat_indicators": self.heat(weather)}
+        self.strata()
         return {**found, **self.odds_ratios(), **self.attributable(), **self.report()}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from heatstrata.functions.indicators import equal_flag, member_flag, prefix_flag, range_flag
 from heatstrata.operators import mortality, quality
 from heatstrata.operators.codebook import SUBGROUPS
+from heatstrata.plans.refresh import DeathBatches
+from heatstrata.sources.work_folder import work_folder
 from workload import sql
 from workload.tables import KEYS, PERIODS, death_records, deaths_by_subgroup, deaths_clean, deaths_daily, heat, weather
 
@@ -87,6 +89,15 @@ def deaths_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deaths_period_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deaths by period from sums that were loaded by year, one year twice."""
+    daily = deaths_daily(spark, sf_dir)
+    store = DeathBatches(spark, work_folder(spark), PERIODS)
+    for years in ("year(date) < 1998", "year(date) = 1996", "year(date) >= 1998"):
+        store.add(daily.where(years))
+    return store.totals()
+
+
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = heat(spark, sf_dir).select("municipality", "date", "tmax_max", "hw_95_max_1", "hw_99_max_1")
     deaths = deaths_daily(spark, sf_dir).drop("date_of_occurrence", "year_period")
@@ -116,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_deaths, filter_valid_day, filter_valid_place, ind_prefix, ind_isin, ind_between, ind_equals, daily_sum,
-        daily_sum_legacy, daily_total, daily_subgroup, unpivot_subgroups, deaths_period, join_deaths_weather,
+        daily_sum_legacy, daily_total, daily_subgroup, unpivot_subgroups, deaths_period, deaths_period_refreshed, join_deaths_weather,
         profile_join, key_overlap, repeated_keys,
     )
 }
@@ -179,3 +190,4 @@ FROM daily WHERE year_period IS NOT NULL GROUP BY ALL""",
     + """SELECT date_of_occurrence, ENT_OCURR, MUN_OCURR, count(*) AS n_rows FROM clean
 GROUP BY date_of_occurrence, ENT_OCURR, MUN_OCURR HAVING count(*) > 1""",
 }
+ORACLES["deaths_period_refreshed"] = ORACLES["deaths_period"]

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatstrata.functions.periods import period_of_date
-from heatstrata.operators import crossover, exposure
+from heatstrata.plans.refresh import PatternBatches
+from heatstrata.sources import bucketed
+from heatstrata.sources.work_folder import work_folder
+from heatstrata.operators import crossover, exposure, mortality
+from heatstrata.operators.codebook import SUBGROUPS
 from heatstrata.operators.crossover import (
     EXPOSURES_95_90, EXPOSURES_99, EXPOSURES_BY_STATE, EXPOSURES_BY_SUBGROUP, SAME_DAY, Exposure, lag_1_day, same_day,
 )
 from workload import sql
 from workload.tables import (
-    FAMILIES, PERIODS, YEARS, deaths_by_subgroup, deaths_total, heat, rounded, table, user_cases, user_weather, weather_raw,
+    FAMILIES, KEYS, PERIODS, YEARS, deaths_by_subgroup, deaths_daily, deaths_total, heat, rounded, table, user_cases, user_weather, weather_raw,
 )
 
 BATTERY = EXPOSURES_99 + EXPOSURES_95_90
@@ -127,6 +131,61 @@ def cc_by_subgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_counts_as_integers(subgroup_results(spark, sf_dir))
 
 
+def stored_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather, deaths and strata in buckets of the municipality, on disk; the strata are opened again.
+
+    The panel is dealt once, by its first table. What follows joins, counts and stores by bucket.
+    """
+    folder, buckets = work_folder(spark), bucketed.default_buckets(spark)
+    dealt = with_lags(heat(spark, sf_dir), BATTERY, within=["year_period"]).drop("year_period")
+    days = bucketed.write_bucketed(dealt, f"{folder}/heat", "municipality", buckets, ["date"])
+    daily = deaths_daily(spark, sf_dir)
+    sexes = [F.col(c) for c in mortality.SEX_COLUMNS]
+    weights = [mortality.row_sum(sexes).alias("All"), F.coalesce(mortality.row_sum(sexes, "row"), F.lit(0)).alias("all_deaths")]
+    deaths = bucketed.write_bucketed(daily.select(*KEYS, *SUBGROUPS, *weights), f"{folder}/deaths", "municipality", buckets, ["date"])
+    with bucketed.joined_by_bucket(spark):
+        rows = crossover.strata(crossover.one_row_a_day(deaths), days, same_day(BATTERY) + lag_1_day(BATTERY))
+        return bucketed.write_bucketed(rows, f"{folder}/strata", "municipality", buckets, ["date"])
+
+
+def cc_stored_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exposure battery from stored strata."""
+    rows = stored_strata(spark, sf_dir)
+    return with_counts_as_integers(crossover.models(rows, same_day(BATTERY) + lag_1_day(BATTERY), by=["year_period"]))
+
+
+def cc_stored_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subgroup models from stored strata."""
+    rows = stored_strata(spark, sf_dir)
+    return with_counts_as_integers(crossover.models_by_subgroup(rows, same_day(EXPOSURES_BY_SUBGROUP), FAMILIES, by=["year_period"]))
+
+
+def cc_by_subgroup_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subgroup under eight exposures, on the day and the day before: one pass over stored strata."""
+    rows = stored_strata(spark, sf_dir)
+    battery = same_day(EXPOSURES_99) + lag_1_day(EXPOSURES_99)
+    return with_counts_as_integers(crossover.models_by_subgroup(rows, battery, SUBGROUPS, by=["year_period"]))
+
+
+def cc_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sandwich errors next to the model-based ones, per period."""
+    return with_counts_as_integers(
+        crossover.odds_ratios(
+            deaths_total(spark, sf_dir), heat(spark, sf_dir), same_day(EXPOSURES_BY_SUBGROUP), by=["year_period"], robust=True
+        )
+    )
+
+
+def cc_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models from pattern sums that were loaded year by year: first years, a year again, then the rest."""
+    chosen = same_day(EXPOSURES_BY_SUBGROUP)
+    rows = crossover.strata(deaths_total(spark, sf_dir), heat(spark, sf_dir), chosen)
+    store = PatternBatches(spark, work_folder(spark), tuple(chosen), PERIODS)
+    for first, last in ((1995, 1997), (1997, 1997), (1998, 2001)):
+        store.add(rows.where((F.col("date") >= F.lit(f"{first}-01-01").cast("date")) & (F.col("date") <= F.lit(f"{last}-12-31").cast("date"))))
+    return with_counts_as_integers(store.fit())
+
+
 def cc_user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same model with users as units: purchases on days of an unusually high value."""
     days = exposure.add_thresholds(user_weather(spark, sf_dir), quantiles=(90,))
@@ -168,6 +227,11 @@ QUERIES = {
     "cc_by_subgroup": cc_by_subgroup,
     "cc_user_panel": cc_user_panel,
     "cc_region_days": region_day_odds_ratio,
+    "cc_stored_battery": cc_stored_battery,
+    "cc_stored_subgroups": cc_stored_subgroups,
+    "cc_by_subgroup_battery": cc_by_subgroup_battery,
+    "cc_robust": cc_robust,
+    "cc_refreshed": cc_refreshed,
 }
 
 SAME = [(c, SAME_DAY) for c in EXPOSURES_BY_SUBGROUP]
@@ -227,6 +291,26 @@ weights AS ({SUBGROUP_WEIGHTS}),
 {select}"""
 
 
+def robust_sql() -> str:
+    """The sandwich from every single stratum, not from patterns."""
+    p = "n.b AS b, s.n1 * exp(n.b) / (s.n0 + s.n1 * exp(n.b)) AS p"
+    return f"""WITH RECURSIVE {sql.HEAT},
+{sql.TOTAL},
+weights AS (SELECT *, all_deaths AS w FROM total),
+{sql.stratum_ctes(SAME, "total")},
+{sql.model_ctes("weights", ["year_period", "variable", "type"])},
+residuals AS (
+ SELECT d.year_period, s.variable, s.type, s.xc, d.w, {p}
+ FROM strata s JOIN weights d ON s.municipality = d.municipality AND s.date = d.date
+ JOIN newton n ON n.year_period = d.year_period AND n.variable = s.variable AND n.type = s.type AND n.step = 60
+ WHERE s.xc IS NOT NULL AND s.n1 > 0 AND s.n0 > 0),
+sandwich AS (
+ SELECT year_period, variable, type, sqrt(sum(pow(w * (xc - p), 2))) / sum(w * p * (1 - p)) AS robust_se
+ FROM residuals GROUP BY ALL)
+SELECT r.year_period, r.variable, r.type, round(robust_se, 6) AS robust_se, {sql.RESULT_VALUES}
+FROM results r LEFT JOIN sandwich USING (year_period, variable, type)"""
+
+
 def state_model_sql(select: str) -> str:
     """Models of all states and overall as the table ``results``, then ``select``."""
     return f"""WITH RECURSIVE {sql.HEAT},
@@ -299,6 +383,18 @@ FROM strata s JOIN total t ON s.municipality = t.municipality AND s.date = t.dat
     "cc_by_subgroup": subgroup_model_sql(
         f"SELECT {', '.join(SUBGROUP_KEYS)}, variable, type, {sql.RESULT_VALUES} FROM results"
     ),
+    "cc_robust": robust_sql(),
+    "cc_refreshed": robust_sql(),
     "cc_user_panel": USER_SQL,
     "cc_region_days": REGION_SQL,
 }
+ORACLES["cc_stored_battery"] = ORACLES["cc_battery"]
+ORACLES["cc_stored_subgroups"] = ORACLES["cc_by_subgroup"]
+_LEGACY = [(c, SAME_DAY) for c in EXPOSURES_99] + [(f"{c}_lag1", crossover.LAG_1_DAY) for c in EXPOSURES_99]
+ORACLES["cc_by_subgroup_battery"] = f"""WITH RECURSIVE {sql.HEAT},
+{_lagged(EXPOSURES_99, "municipality, year_period")},
+{sql.DAILY},
+weights AS (SELECT * FROM ({SUBGROUP_WEIGHTS}) WHERE subgroup <> 'All'),
+{sql.stratum_ctes(_LEGACY, "daily", "with_lags")},
+{sql.model_ctes("weights", SUBGROUP_KEYS + ["variable", "type"])}
+SELECT {', '.join(SUBGROUP_KEYS)}, variable, type, {sql.RESULT_VALUES} FROM results"""
