@@ -46,6 +46,34 @@ def column_layout(df: DataFrame, name: str, layouts=DATE_LAYOUTS) -> str | None:
     return fitting[0] if fitting else None
 
 
+def layout_votes(df: DataFrame, name: str, group: str, layouts=DATE_LAYOUTS) -> DataFrame:
+    """For each group of rows (a file): how many values of the column each layout fits. Mergeable counters.
+
+    Columns ``n`` (values) and ``fits`` (a count per layout).
+    """
+    fits = [F.count_if(F.try_to_date(F.col(name), layout).isNotNull()) for layout in layouts]
+    return df.groupBy(group).agg(F.count(F.col(name)).alias("n"), F.array(*fits).alias("fits"))
+
+
+def chosen_layout(votes: DataFrame, group: str, rule: str = "most", layouts=DATE_LAYOUTS) -> DataFrame:
+    """(group, layout): the layout that fits ``most`` values, ties by order of preference, or the ``first`` that fits any.
+
+    Null where none fits. ``03/04/2001`` fits two layouts; its file's other values decide which it is.
+    """
+    if rule not in ("most", "first"):
+        raise ValueError(f"rule must be 'most' or 'first', not {rule!r}")
+    counts = F.col("fits") if rule == "most" else F.transform("fits", lambda n: F.least(n, F.lit(1).cast("long")))
+    best = F.array_max(counts)
+    named = F.get(F.array(*[F.lit(x) for x in layouts]), (F.array_position(counts, best) - 1).cast("int"))
+    return votes.select(group, F.when(best > 0, named).alias("layout"))
+
+
+def dates_by_group(df: DataFrame, name: str, group: str, layouts: DataFrame) -> DataFrame:
+    """The column as a date, read in the layout that its group has; null where that does not fit."""
+    joined = df.join(layouts.select(group, F.col("layout").alias("_layout")), group, "left")
+    return joined.withColumn(name, F.coalesce(*[F.when(F.col("_layout") == x, F.try_to_date(F.col(name), x)) for x in DATE_LAYOUTS])).drop("_layout")
+
+
 def iso_weekday(date: Column) -> Column:
     """Monday is 1, Sunday is 7."""
     return F.weekday(date) + F.lit(1)

@@ -124,21 +124,46 @@ def in_report_order(table: DataFrame, periods: Periods = STUDY_PERIODS) -> DataF
     return reorder(table, front).orderBy(display_order(F.col("section"), wanted), "section", "Subgroup")
 
 
-def label_forward(table: DataFrame, position: str, label: str = "Subgroup", mark: str = "—") -> DataFrame:
+#: Rows of a segment of ``carry_forward`` where the table has no blocks of its own.
+SEGMENT_ROWS = 1 << 16
+
+
+def carry_forward(
+    table: DataFrame, value: Column, name: str, position: str = "_row", file: str | None = "_file", block: str | None = "_block"
+) -> DataFrame:
+    """Add the last known ``value`` at or before each row of its file, in the order of (block, position).
+
+    A scan in two levels. Inside a block, a window; across blocks, the last value of each block, carried
+    over the few rows of that small table. So the largest piece in one task is a block of a file (or
+    SEGMENT_ROWS of a table that has only a whole-number position and no ``block``), or one row per block.
+    """
+    keys = [file] if file else []
+    rows = table.withColumn("_value", value)
+    if block is None:
+        block = "_segment"
+        rows = rows.withColumn(block, F.expr(f"`{position}` div {SEGMENT_ROWS}"))
+    here = Window.partitionBy(*keys, block).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumn("_own", F.last("_value", ignorenulls=True).over(here))
+    last = rows.where("_value IS NOT NULL").groupBy(*keys, block).agg(F.max_by("_value", position).alias("_last"))
+    ends = rows.select(*keys, block).distinct().join(last, [*keys, block], "left")
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, block, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    joined = own.join(carried, [*keys, block], "left").withColumn(name, F.coalesce("_own", "_carried"))
+    return joined.drop("_value", "_own", "_carried", "_segment")
+
+
+def label_forward(
+    table: DataFrame, position: str, label: str = "Subgroup", mark: str = "—", file: str | None = None, block: str | None = None
+) -> DataFrame:
     """A table with divider rows (``— SEX —``) to one with a ``section`` column and no dividers.
 
-    A report of this kind holds some dozen rows, one per subgroup; it has no key but its row
-    position, so its rows are ordered in one task.
+    The section of a row is the last divider before it in its file; an empty label reads "Unspecified".
     """
     text = F.trim(F.col(label))
     divider = F.coalesce(text.startswith(mark), F.lit(False))
     name = F.when(divider, F.trim(F.regexp_replace(text, mark, "")))
-    order = Window.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        table.withColumn("section", F.last(name, ignorenulls=True).over(order))
-        .where(~divider)
-        .withColumn(label, F.coalesce(F.col(label), F.lit("Unspecified")))
-    )
+    labelled = carry_forward(table.withColumn("_divider", divider), name, "section", position, file, block)
+    return labelled.where(~F.col("_divider")).drop("_divider").withColumn(label, F.coalesce(F.col(label), F.lit("Unspecified")))
 
 
 def section_totals(table: DataFrame, columns: Sequence[str]) -> DataFrame:

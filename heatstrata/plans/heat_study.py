@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heatstrata.functions.periods import STUDY_PERIODS, Periods, period_of_date
@@ -60,12 +60,21 @@ class HeatStudy:
         return min(p[0] for p in self.periods), max(p[1] for p in self.periods)
 
     def deaths(self, paths: Sequence[str]) -> DataFrame:
-        """Yearly raw files in folders ``year=YYYY`` to municipality-days. One shuffle."""
-        raw = readers.read_years(self.spark, paths, schemas.DEATHS_RAW, tag="source_path")
+        """Yearly raw files in folders ``year=YYYY`` to municipality-days.
+
+        ``deaths_misfits`` lists, where there are any, the values of each file that do not fit their type
+        and count as unknown.
+        """
+        raw = readers.read_years(self.spark, paths, schemas.DEATHS_RAW, tag="source_path", misfits="misfits")
+        by_file, seen = readers.misfits_by_file(raw, "source_path", "misfits"), Observation()
+        raw = raw.observe(seen, F.coalesce(F.sum("misfits"), F.lit(0)).alias("n"))
         raw = raw.withColumn("SOURCE_YEAR", readers.year_in_path("source_path"))
         daily = mortality.with_municipality(mortality.daily_sums(mortality.clean_deaths(raw, "SOURCE_YEAR")))
         daily = daily.withColumn("year_period", period_of_date(F.col("date"), self.periods))
-        return self.store_by_unit(daily, "deaths_daily")
+        stored = self.store_by_unit(daily, "deaths_daily")
+        # Counted in the scan that is made anyway; the files are named only where there are any.
+        self.store(by_file if seen.get["n"] else by_file.limit(0), "deaths_misfits")
+        return stored
 
     def heat(self, weather: DataFrame) -> DataFrame:
         """Daily weather to thresholds, flags, lags and runs. One shuffle by municipality, as the table is stored.

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatstrata.functions import dates, indicators, numbers, periods, places
-from heatstrata.operators import columns, mortality
+from heatstrata.operators import columns, mortality, reports
+from heatstrata.plans import combine
 from heatstrata.sources import readers, schemas, writers
 from heatstrata.sources.work_folder import work_folder
 from workload import sql
@@ -64,6 +65,97 @@ def scan_period_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_period_files(spark, folder, schemas.DEATHS_DAILY, prefix="combined_sum=")
 
 
+def scan_drifting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files have the same columns in three orders, and one column that only some have."""
+    folder = work_folder(spark)
+    records = death_records(spark, sf_dir).select(*RAW_NAMES, "o_orderkey")
+    for part, names in enumerate((RAW_NAMES, RAW_NAMES[::-1], [*RAW_NAMES[5:], *RAW_NAMES[:5]])):
+        rows = records.where(F.col("o_orderkey") % 3 == part)
+        rows.select(*names, *(["o_orderkey"] if part else [])).write.mode("append").option("header", True).csv(f"{folder}/{'ab'[part % 2]}")
+    found = readers.read_csv(spark, [f"{folder}/a", f"{folder}/b"], schemas.DEATHS_RAW)
+    return found.select(*RAW_NAMES, F.col("o_orderkey").cast("long").alias("o_orderkey"))
+
+
+def scan_float_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly files that write codes as 9.0, 9,0 or as words: values that do not fit, counted per file."""
+    folder = work_folder(spark)
+    records = death_records(spark, sf_dir)
+    sex = F.col("SEXO").cast("string")
+    written = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(sex, F.lit(",0"))).when(F.col("o_orderkey") % 5 == 1, F.concat(sex, F.lit(".0")))
+        .when(F.col("o_orderkey") % 5 == 2, F.lit("x")).otherwise(sex)
+    )
+    records.select("ENT_OCURR", written.alias("SEXO"), F.col("REG_YEAR").alias("year")).write.option("header", True).partitionBy("year").csv(folder)
+    rows = readers.read_years(spark, [folder], schemas.DEATHS_RAW, tag="path", misfits="lost")
+    per_file = readers.misfits_by_file(rows.withColumn("path", readers.year_in_path("path")), "path", "lost")
+    sexes = rows.groupBy(readers.year_in_path("path").alias("file")).agg(F.sum("SEXO").cast("long").alias("sum_sex"))
+    return per_file.join(sexes, "file")
+
+
+def scan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section tables of a report, a folder of CSV files each, read as one table; their columns differ."""
+    folder = work_folder(spark)
+    customer = table(spark, sf_dir, "customer")
+    counts = customer.groupBy(F.col("c_mktsegment").alias("Segment")).agg(F.count("*").alias("Total"), F.sum("c_nationkey").alias("Keys"))
+    writers.write_csv(counts, f"{folder}/Market segment")
+    nations = customer.groupBy(F.concat(F.lit("N"), F.col("c_nationkey")).alias("Nation")).agg(F.count("*").alias("Total"))
+    writers.write_csv(nations, f"{folder}/Nation + key")
+    return readers.read_section_table(spark, folder, ["Market segment", "Nation + key", "Occupation"], absent=[])
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A report per nation: dividers with a market segment, below each its customers. Returns the folder."""
+    folder = work_folder(spark)
+    customer = table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 7 != 0, F.col("c_name"))
+    lines = customer.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("place"), name.alias("Subgroup"), F.col("c_custkey").cast("string").alias("key"))
+    dividers = customer.select("c_nationkey", "c_mktsegment").distinct().select(
+        "c_nationkey", "c_mktsegment", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("— "), "c_mktsegment", F.lit(" —")).alias("Subgroup"), F.lit(None).cast("string").alias("key")
+    )
+    ordered = lines.unionByName(dividers).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_mktsegment", "place")
+    ordered.select("c_nationkey", "Subgroup", "key").write.option("header", True).partitionBy("c_nationkey").csv(folder)
+    return folder
+
+
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of each line of many report files, from the divider above it."""
+    rows = readers.with_place_in_file(spark, f"{report_lines(spark, sf_dir)}/*", ["Subgroup", "key"])
+    found = reports.label_forward(rows, "_row", file="_file", block="_block")
+    return found.select("section", "Subgroup", F.col("key").cast("long").alias("c_custkey"))
+
+
+def append_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sums loaded by year as CSV batches; two years are loaded twice. Rows and deaths as read back."""
+    folder = work_folder(spark)
+    sums = deaths_daily(spark, sf_dir).select("ENT_OCURR", "MUN_OCURR", *mortality.SEX_COLUMNS, F.year("date").alias("batch"))
+    known = sums.where("batch IS NOT NULL")
+    for years in ("batch <= 1996", "batch IN (1995, 1996)", "batch > 1996"):
+        writers.replace_batches(known.where(years), folder, kind="csv")
+    back = readers.read_csv(spark, folder, schemas.DEATHS_DAILY, tag="path").withColumn("batch", F.regexp_extract("path", r"batch=(\d+)", 1).cast("int"))
+    deaths = numbers.row_sum([F.col(c) for c in mortality.SEX_COLUMNS])
+    return back.groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum(deaths).alias("deaths"))
+
+
+def combine_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned yearly files, each with one of three date layouts, combined and split by period."""
+    folder = work_folder(spark)
+    clean = mortality.clean_deaths(death_records(spark, sf_dir).withColumn("YEAR_FILE", F.col("REG_YEAR")), "YEAR_FILE")
+    clean = clean.withColumn("year", F.year("date_of_occurrence"))
+    for k, layout in enumerate(("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")):
+        part = clean.where(F.coalesce(F.col("year"), F.lit(0)) % 3 == k).withColumn("date_of_occurrence", F.date_format("date_of_occurrence", layout))
+        part.write.mode("append").option("header", True).partitionBy("year").csv(f"{folder}/yearly")
+    split = combine.combine_and_split(spark, [f"{folder}/yearly"], f"{folder}/out", periods=PERIODS)
+    return split.select("date_of_occurrence", "ENT_OCURR", "MUN_OCURR", *mortality.SEX_COLUMNS, "year_period")
+
+
+def split_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sums split by period in few files sorted by municipality; one period and place read back."""
+    folder = work_folder(spark)
+    daily = deaths_daily(spark, sf_dir).where(F.col("year_period").isNotNull())
+    writers.write_by_period(daily.select("date", "municipality", *mortality.SEX_COLUMNS, "year_period"), folder, sort=["municipality", "date"])
+    return spark.read.parquet(folder).where("year_period = '1997-1998' AND municipality >= 'MX02'")
+
+
 def split_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day sums written to one folder per period and read back."""
     folder = work_folder(spark)
@@ -221,7 +313,8 @@ QUERIES = {
         scan_csv, scan_projected, scan_union_years, scan_period_from_path, split_by_period, project_rename, project_drop,
         project_reorder, project_select, filter_period, filter_isin, filter_any_column, date_from_parts, date_parse,
         date_parse_multi, date_parse_column, date_parts, period_bucket, period_days, municipality_id, state_from_id,
-        numeric_coerce, row_sums,
+        numeric_coerce, row_sums, scan_drifting_order, scan_float_codes, scan_sections, report_sections, append_repeated,
+        combine_and_split, split_clustered,
     )
 }
 
@@ -285,6 +378,24 @@ SELECT c_custkey AS key, municipality, {STATE.format('municipality')} AS state F
 UNION ALL SELECT p_partkey, p_brand, {STATE.format('p_brand')} FROM part""",
     "numeric_coerce": """SELECT p_partkey, TRY_CAST(substr(p_brand, 7, 2) AS DOUBLE) AS brand, TRY_CAST(p_name AS DOUBLE) AS name,
  CAST(NULL AS DOUBLE) AS suffixed, CAST(p_size AS DOUBLE) * 10 + 5 AS size FROM part""",
+    "scan_drifting_order": RECORDS
+    + f"SELECT {', '.join(RAW_NAMES)}, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS o_orderkey FROM records",
+    "scan_float_codes": RECORDS
+    + """SELECT REG_YEAR AS file, count(*) AS n_rows, CAST(sum(CASE WHEN o_orderkey % 5 IN (0, 2) THEN 1 ELSE 0 END) AS BIGINT) AS n_misfits,
+ CAST(sum(CASE WHEN o_orderkey % 5 NOT IN (0, 2) THEN SEXO END) AS BIGINT) AS sum_sex FROM records GROUP BY REG_YEAR""",
+    "scan_sections": """SELECT 'Market segment' AS section, c_mktsegment AS Subgroup, CAST(count(*) AS DOUBLE) AS Total,
+ CAST(sum(c_nationkey) AS DOUBLE) AS Keys FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'Nation + key', 'N' || c_nationkey, CAST(count(*) AS DOUBLE), NULL FROM customer GROUP BY c_nationkey""",
+    "report_sections": """SELECT c_mktsegment AS section, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE 'Unspecified' END AS Subgroup,
+ c_custkey FROM customer""",
+    "append_repeated": DAILY
+    + """SELECT CAST(year(date) AS INTEGER) AS batch, count(*) AS n_rows,
+ CAST(sum(Group_A_SEXO + Group_B_SEXO + Group_C_SEXO) AS BIGINT) AS deaths FROM daily WHERE date IS NOT NULL GROUP BY year(date)""",
+    "combine_and_split": f"""WITH {sql.CLEAN}
+SELECT date_of_occurrence, ENT_OCURR, MUN_OCURR, {SEXES}, {sql.PERIOD_OF.format('date_of_occurrence')} AS year_period
+FROM clean WHERE {sql.PERIOD_OF.format('date_of_occurrence')} IS NOT NULL""",
+    "split_clustered": DAILY
+    + f"SELECT date, municipality, {SEXES}, year_period FROM daily WHERE year_period = '1997-1998' AND municipality >= 'MX02'",
     "row_sums": WEATHER
     + """SELECT municipality, date, round(coalesce(tmin_max, 0) + coalesce(tmax_max, 0), 6) AS by_cell,
  round(tmin_max + tmax_max, 6) AS by_row FROM weather""",
