@@ -14,6 +14,7 @@ from heatstrata.functions.places import state_of_id
 from heatstrata.operators.columns import require_columns
 from heatstrata.operators.crossover import SAME_DAY
 
+# Names of the result columns.
 OR_NAMES = {"or": "OR_point", "or_low": "OR_lcl", "or_high": "OR_ucl"}
 PAF_NAMES = {"OR_point": "PAF_point", "OR_lcl": "PAF_lcl", "OR_ucl": "PAF_ucl"}
 AN_NAMES = {

@@ -69,10 +69,11 @@ CODE_BOOK = (
     Code("CIVIL_STATUS", "CIVIL_NOT_SPEC", "EDO_CIVIL", (9,)),
     # occupation
     Code("OCUPACION", "Group_A_OCUPACION", "OCUPACION",
-         ((11, 14), 21, (51, 55), 61, 62, 71, 72, (81, 83)), (1998, 2012)),
-    Code("OCUPACION", "Group_A_OCUPACION", "OCUPACION", ((1, 5), (7, 9)), (2013, 2021)),
+         (11, 12, 13, 14, 21, 51, 52, 53, 54, 55, 61, 62, 71, 72, 81, 82, 83), (1998, 2012)),
+    Code("OCUPACION", "Group_A_OCUPACION", "OCUPACION", (1, 2, 3, 4, 5, 7, 8, 9), (2013, 2021)),
     Code("OCUPACION", "Group_A_OCUPACION", "OCUPACION",
-         ((11, 17), (19, 29), 31, 32, 39, (41, 43), 49, (51, 54), (72, 76), 79, (81, 83), 89, (93, 98)),
+         (11, 12, 13, 14, 15, 16, 17, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 31, 32, 39, 41, 42, 43, 49,
+          51, 52, 53, 54, 72, 73, 74, 75, 76, 79, 81, 82, 83, 89, 93, 94, 95, 96, 97, 98),
          (2022, 2022)),
     Code("OCUPACION", "Group_B_OCUPACION", "OCUPACION", (41,), (1998, 2012)),
     Code("OCUPACION", "Group_B_OCUPACION", "OCUPACION", (6,), (2013, 2021)),

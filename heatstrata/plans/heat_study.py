@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from heatstrata.functions.periods import STUDY_PERIODS, Periods, period_of_date
+from heatstrata.functions.periods import STUDY_PERIODS, Periods, period_of_date, within_periods
 from heatstrata.operators import attribution, crossover, exposure, mortality, reports
 from heatstrata.operators.codebook import SUBGROUPS
+from heatstrata.operators.columns import require_columns
 from heatstrata.operators.crossover import (
     EXPOSURES_95_90, EXPOSURES_99, EXPOSURES_BY_STATE, EXPOSURES_BY_SUBGROUP, lag_1_day, same_day,
 )
@@ -89,6 +90,33 @@ class HeatStudy:
         days = exposure.add_lags(days.drop(*lags), lags, within=within)
         return self.store_by_unit(days, "heat_indicators")
 
+    # Entering the study in the middle: tables that earlier runs or other programs have exported as CSV.
+
+    def enter_heat(self, paths: Sequence[str] | str) -> DataFrame:
+        """An exported indicator table in place of ``heat``. Lags of the models are made anew, by this study's rule."""
+        days = readers.read_csv(self.spark, paths, schemas.HEAT_INDICATORS)
+        require_columns(days, ("municipality", "date", *EXPOSURES_99, *EXPOSURES_95_90), "indicators")
+        days = days.where(within_periods(F.col("date"), self.periods)).withColumn("year_period", period_of_date(F.col("date"), self.periods))
+        dealt = days.repartition(self.buckets or bucketed.default_buckets(self.spark), "municipality")
+        lags = {f"{c}_lag1": (c, 1) for c in (*EXPOSURES_99, *EXPOSURES_95_90)}
+        lagged = exposure.add_lags(dealt.drop(*lags), lags, within=["year_period"] if self.lags_by_period else [])
+        return self.store_by_unit(lagged, "heat_indicators")
+
+    def enter_deaths(self, paths: Sequence[str] | str) -> DataFrame:
+        """Exported day sums in place of ``deaths``; several rows of a day and place are added up."""
+        sums = readers.read_csv(self.spark, paths, schemas.DEATHS_DAILY)
+        require_columns(sums, (*mortality.DAY_KEYS, *SUBGROUPS), "day sums")
+        daily = mortality.with_municipality(mortality.daily_sums(sums.select(*mortality.DAY_KEYS, *SUBGROUPS)))
+        return self.store_by_unit(daily.withColumn("year_period", period_of_date(F.col("date"), self.periods)), "deaths_daily")
+
+    def enter_odds(self, paths: Sequence[str] | str) -> DataFrame:
+        """Exported odds ratios in place of the state models; published names become this library's, ``All`` the overall level."""
+        odds = readers.read_csv(self.spark, paths, schemas.ODDS_RATIOS)
+        odds = odds.withColumnsRenamed({theirs: ours for ours, theirs in crossover.PUBLISHED_NAMES.items()})
+        require_columns(odds, ("ENT_OCURR", "year_period", "variable", "type", "or", "or_low", "or_high"), "odds ratios")
+        level = F.when(F.col("ENT_OCURR") == "All", F.lit("overall")).otherwise(F.lit("state"))
+        return self.store(odds.withColumn("level", level), "odds_by_state")
+
     def strata(self) -> DataFrame:
         """Every death-day with the reference counts of all exposures and the deaths of all subgroups. No shuffle.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 from heatstrata.operators.codebook import SUBGROUPS
+from heatstrata.operators.exposure import INDICATOR_COLUMNS
 
 _int = T.IntegerType()
 _long = T.LongType()
@@ -36,6 +37,18 @@ WEATHER_RAW = _struct(
     ("ADM2_PCODE", _text), ("date", _text), ("tmin", _double), ("tmax", _double), ("vp", _double), ("prcp", _double),
 )
 
+# The exported indicator table: flags and lags are 0, 1 or unknown.
+HEAT_INDICATORS = _struct(
+    *[
+        (name, {"municipality": _text, "date": T.DateType(), "date2": T.DateType(), "year": _int, "month": _int}.get(name, _int if name.startswith("hw_") else _double))
+        for name in INDICATOR_COLUMNS
+    ]
+)
+
+# Hot days of a place and period, and deaths of a place and period, as exported.
+HEAT_DAYS = _struct(("year_period", _text), ("municipality", _text), *[(name, _long) for name in INDICATOR_COLUMNS if name.startswith("hw_")])
+DEATHS_PERIOD = _struct(("ENT_OCURR", _int), ("MUN_OCURR", _int), ("municipality", _text), ("year_period", _text), ("deaths_total", _long))
+
 ODDS_RATIOS = _struct(
     ("ENT_OCURR", _text), ("variable", _text), ("type", _text), ("estimate", _double), ("std.error", _double),
     ("statistic", _double), ("or", _double), ("or_low", _double), ("or_high", _double), ("p.value", _double),

@@ -8,7 +8,7 @@ from workload import registry
 WRITING = {
     "scan_csv", "scan_projected", "scan_union_years", "scan_period_from_path", "split_by_period", "scan_drifting_order", "scan_float_codes",
     "scan_sections", "report_sections", "append_repeated", "combine_and_split", "split_clustered", "cc_stored_battery", "cc_stored_subgroups",
-    "cc_by_subgroup_battery", "cc_refreshed", "deaths_period_refreshed",
+    "cc_by_subgroup_battery", "cc_refreshed", "deaths_period_refreshed", "scan_indicators", "union_results",
 }
 
 

@@ -70,3 +70,40 @@ def test_models_read_only_needed_columns(study):
     plan = crossover.odds_ratios(deaths, days, crossover.same_day(["hw_99_max_1"]))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<municipality:string,date:date,hw_99_max_1:int>" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_misfits_of_a_file_are_stored(spark, tmp_path):
+    path = tmp_path / "year=2001" / "d.csv"
+    path.parent.mkdir()
+    path.write_text(HEADER + "\n1,1,5,1,2001,I219,1,1,1,1,1,1\n1,1,5,1,2001,I219,1,1,x,1,1,\"9,0\"\n")
+    made = HeatStudy(spark, str(tmp_path / "out"), periods=((2001, 2001),))
+    made.deaths([str(path)])
+    assert [(r.n_rows, r.n_misfits) for r in made.read("deaths_misfits").collect()] == [(2, 2)]
+
+
+def test_entering_the_study_in_the_middle(spark, study, tmp_path):
+    """Exported day sums, indicators and odds ratios give what the whole run gave."""
+    made, tables = study
+    from heatstrata.operators.exposure import INDICATOR_COLUMNS
+    from heatstrata.sources import writers
+
+    exported = {n: str(tmp_path / n) for n in ("deaths", "heat", "odds")}
+    writers.write_csv(tables["deaths_daily"].drop("municipality", "date", "year_period"), exported["deaths"])
+    writers.write_csv(tables["heat_indicators"].select(*INDICATOR_COLUMNS), exported["heat"])
+    published = crossover.with_published_names(tables["odds_by_state"])
+    state = F.when(F.col("level") == "overall", F.lit("All")).otherwise(F.col("ENT_OCURR").cast("string"))
+    writers.write_csv(published.withColumn("ENT_OCURR", state).drop("level"), exported["odds"])
+    later = HeatStudy(spark, str(tmp_path / "out"), periods=made.periods)
+    later.enter_deaths(exported["deaths"])
+    later.enter_heat(exported["heat"])
+    later.strata()
+    models = later.odds_ratios()
+    key = ["year_period", "variable", "type"]
+    both = tables["odds_battery"].select(*key, F.col("estimate").alias("a"), "n_cases").join(models["odds_battery"].select(*key, F.col("estimate").alias("b"), F.col("n_cases").alias("m")), key)
+    rows = both.collect()
+    assert len(rows) == tables["odds_battery"].count()
+    assert all(r.n_cases == r.m and (r.a == r.b or r.a == pytest.approx(r.b, abs=1e-9)) for r in rows)
+    later.enter_odds(exported["odds"])
+    by_state = later.attributable()["attributable_state"]
+    a, b = (sorted((r.ENT_OCURR, r.year_period, r.hw_definition, round(r.AN_deaths_est, 6)) for r in t.collect()) for t in (by_state, tables["attributable_state"]))
+    assert a == b

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatstrata.functions import dates, indicators, numbers, periods, places
-from heatstrata.operators import columns, mortality, reports
+from heatstrata.operators import columns, exposure, mortality, reports
 from heatstrata.plans import combine
 from heatstrata.sources import readers, schemas, writers
 from heatstrata.sources.work_folder import work_folder
 from workload import sql
-from workload.tables import PERIODS, death_records, deaths_daily, rounded, table, weather, weather_raw
+from workload.tables import PERIODS, death_records, deaths_clean, deaths_daily, rounded, table, weather, weather_raw
 
 RAW_NAMES = [f.name for f in schemas.DEATHS_RAW.fields]
 # Periods with a gap, so that some years lie outside.
@@ -92,6 +92,23 @@ def scan_float_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_file.join(sexes, "file")
 
 
+def scan_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicator table as an earlier run exports it, in CSV, read back by its schema."""
+    folder = work_folder(spark)
+    writers.write_csv(exposure.heat_indicators(weather(spark, sf_dir)), folder)
+    return rounded(readers.read_csv(spark, folder, schemas.HEAT_INDICATORS))
+
+
+def project_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cleaned table with repeated names and an absent column, repaired; all columns of one prefix summed."""
+    clean = deaths_clean(spark, sf_dir).select("date_of_occurrence", "ENT_OCURR", "MUN_OCURR", *mortality.SEX_COLUMNS)
+    twice = clean.select("*", F.lit(7).alias("ENT_OCURR"), F.lit(8).alias("Group_A_SEXO"))
+    once = columns.require_columns(columns.drop_repeated_names(twice), ["ENT_OCURR", "Group_A_SEXO"], "cleaned deaths")
+    full = columns.add_if_absent(once, {"AREA_UR": F.lit(None).cast("int"), "ENT_OCURR": F.lit(-1)})
+    found = columns.columns_starting(full, "Group_")
+    return full.groupBy("ENT_OCURR", "AREA_UR").agg(*[F.sum(c).alias(c) for c in found])
+
+
 def scan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section tables of a report, a folder of CSV files each, read as one table; their columns differ."""
     folder = work_folder(spark)
@@ -314,7 +331,7 @@ QUERIES = {
         project_reorder, project_select, filter_period, filter_isin, filter_any_column, date_from_parts, date_parse,
         date_parse_multi, date_parse_column, date_parts, period_bucket, period_days, municipality_id, state_from_id,
         numeric_coerce, row_sums, scan_drifting_order, scan_float_codes, scan_sections, report_sections, append_repeated,
-        combine_and_split, split_clustered,
+        combine_and_split, split_clustered, scan_indicators, project_repair,
     )
 }
 
@@ -383,6 +400,12 @@ UNION ALL SELECT p_partkey, p_brand, {STATE.format('p_brand')} FROM part""",
     "scan_float_codes": RECORDS
     + """SELECT REG_YEAR AS file, count(*) AS n_rows, CAST(sum(CASE WHEN o_orderkey % 5 IN (0, 2) THEN 1 ELSE 0 END) AS BIGINT) AS n_misfits,
  CAST(sum(CASE WHEN o_orderkey % 5 NOT IN (0, 2) THEN SEXO END) AS BIGINT) AS sum_sex FROM records GROUP BY REG_YEAR""",
+    "scan_indicators": f"WITH {sql.HEAT}\nSELECT "
+    + ", ".join(f"round({c}, 6) AS {c}" if c in ("tmin_max", "tmax_max", "vp", "prcp") else c for c in exposure.INDICATOR_COLUMNS)
+    + " FROM heat",
+    "project_repair": f"""WITH {sql.CLEAN}
+SELECT ENT_OCURR, CAST(NULL AS INTEGER) AS AREA_UR, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in mortality.SEX_COLUMNS)}
+FROM clean GROUP BY ENT_OCURR""",
     "scan_sections": """SELECT 'Market segment' AS section, c_mktsegment AS Subgroup, CAST(count(*) AS DOUBLE) AS Total,
  CAST(sum(c_nationkey) AS DOUBLE) AS Keys FROM customer GROUP BY c_mktsegment
 UNION ALL SELECT 'Nation + key', 'N' || c_nationkey, CAST(count(*) AS DOUBLE), NULL FROM customer GROUP BY c_nationkey""",

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from heatstrata.functions.labels import FAMILY_LABELS, REPORT_SECTIONS, SUBGROUP_LABELS, UNPLOTTED_SUBGROUPS
 from heatstrata.functions.periods import period_labels
-from heatstrata.operators import attribution, crossover, exposure, mortality, quality, reports
-from heatstrata.operators.crossover import EXPOSURES_BY_STATE, SAME_DAY
+from heatstrata.operators import attribution, bitmaps, crossover, exposure, mortality, quality, reports
+from heatstrata.operators.crossover import EXPOSURES_BY_STATE, EXPOSURES_BY_SUBGROUP, SAME_DAY, same_day
 from workload import sql
-from workload.models import state_model_sql, state_results, subgroup_model_sql, subgroup_results
-from workload.tables import PERIODS, deaths_by_subgroup, deaths_daily, heat, rounded
+from workload.deaths import JOINED
+from workload.models import state_model_sql, state_results, stored_strata, subgroup_model_sql, subgroup_results
+from workload.tables import FAMILIES, PERIODS, deaths_by_subgroup, deaths_daily, heat, rounded
 
 LABELS = period_labels(PERIODS)
 VARIABLE = "hw_95_max_1"
@@ -50,6 +51,13 @@ def an_state_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(by_state(spark, sf_dir))
 
 
+def an_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State sums where one state has no odds ratios and some municipalities no count of deaths."""
+    odds = state_results(spark, sf_dir).where("level = 'overall' OR ENT_OCURR <> 2")
+    deaths = period_deaths(spark, sf_dir).where(~F.col("municipality").endswith("5"))
+    return rounded(attribution.attributable_by_state(heat_period(spark, sf_dir), odds, deaths, EXPOSURES_BY_STATE))
+
+
 def topk_an_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve state-periods with the most attributable deaths: a top-k report."""
     ordered = by_state(spark, sf_dir).orderBy(
@@ -76,8 +84,9 @@ def distinct_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State and subgroup results in one table; columns of only one side are null on the other."""
     wanted = ["year_period", "variable", "type", "estimate", "or"]
-    states = state_results(spark, sf_dir).select("level", "ENT_OCURR", *wanted)
-    groups = subgroup_results(spark, sf_dir).select("subgroup_type", "subgroup", *wanted)
+    rows = stored_strata(spark, sf_dir)  # both kinds of models read the same strata
+    states = crossover.models_by_place(rows, same_day(EXPOSURES_BY_STATE), by=["year_period"]).select("level", "ENT_OCURR", *wanted)
+    groups = crossover.models_by_subgroup(rows, same_day(EXPOSURES_BY_SUBGROUP), FAMILIES, by=["year_period"]).select("subgroup_type", "subgroup", *wanted)
     return rounded(states.unionByName(groups, allowMissingColumns=True))
 
 
@@ -149,6 +158,28 @@ def qa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def qa_distinct_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct places, days and years of the day sums, by period and in all, from bitmaps that are added up."""
+    codes = {"place": F.col("ENT_OCURR") * 1000 + F.col("MUN_OCURR"), "day": F.unix_date("date"), "year": F.year("date")}
+    parts = bitmaps.distinct_bitmaps(deaths_daily(spark, sf_dir), codes, ["year_period"])
+    each, all_ = bitmaps.distinct_counts(parts, ["year_period"]), bitmaps.distinct_counts(parts)
+    return each.unionByName(all_.withColumn("year_period", F.lit("all")))
+
+
+def join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deaths with the weather of their day; the weather side is cut to the days of deaths before it is shuffled."""
+    days = heat(spark, sf_dir).select("municipality", "date", "tmax_max", "hw_95_max_1", "hw_99_max_1")
+    deaths = deaths_daily(spark, sf_dir).drop("date_of_occurrence", "year_period")
+    keys = ["municipality", "date"]
+    return deaths.join(bitmaps.may_have_key(days, bitmaps.key_filter(deaths, keys), keys), keys, "left")
+
+
+def report_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptive table in display order, for the sink; ``place`` is the order of its sections."""
+    ordered = reports.in_report_order(reports.descriptive_table(long_by_period(spark, sf_dir), PERIODS), PERIODS)
+    return ordered.withColumn("place", reports.display_order(F.col("section"), [reports.TOTAL_SECTION, *REPORT_SECTIONS]))
+
+
 def qa_subgroup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.subgroup_counts(plotted(spark, sf_dir))
 
@@ -165,6 +196,7 @@ QUERIES = {
         an_municipality, an_state_collapsed, an_state_period, topk_an_state, results_select, or_first_per_state,
         distinct_states, union_results, sort_results, or_labelled, or_pivot, densify_periods, sort_custom_order,
         report_descriptive, section_totals, section_composition, qa_counts, qa_subgroup_counts, qa_emptiness,
+        an_missing, qa_distinct_bitmaps, join_filtered, report_ordered,
     )
 }
 
@@ -336,3 +368,20 @@ def _union_sql() -> str:
 
 
 ORACLES["union_results"] = _union_sql()
+ORACLES["an_missing"] = state_model_sql(
+    ", "
+    + AN_PARTS.replace("r.level = 'state'", "r.level = 'state' AND r.place <> 2").replace(
+        "WHERE year_period IS NOT NULL GROUP BY municipality, year_period", "WHERE year_period IS NOT NULL AND municipality NOT LIKE '%5' GROUP BY municipality, year_period"
+    )
+    + "SELECT ENT_OCURR, year_period, hw_definition, round(AN_deaths_est, 6) AS AN_deaths_est, n_missing_or, n_missing_deaths FROM by_state"
+)
+ORACLES["qa_distinct_bitmaps"] = f"""WITH {sql.DAILY},
+counts AS (
+ SELECT CASE WHEN grouping(year_period) = 1 THEN 'all' ELSE year_period END AS year_period, count(DISTINCT (ENT_OCURR, MUN_OCURR)) AS place,
+  count(DISTINCT date) AS day, count(DISTINCT year(date)) AS year FROM daily GROUP BY GROUPING SETS ((), (year_period)))
+SELECT * FROM (SELECT year_period, unnest(['place', 'day', 'year']) AS name, unnest([place, day, year]) AS n FROM counts) WHERE n > 0"""
+ORACLES["join_filtered"] = JOINED + "SELECT * FROM joined"
+ORACLES["report_ordered"] = (
+    SECTIONS
+    + f"""SELECT *, CAST(list_position([{", ".join(f"'{s}'" for s in [reports.TOTAL_SECTION, *REPORT_SECTIONS])}], section) AS INTEGER) AS place FROM report"""
+)

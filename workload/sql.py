@@ -83,7 +83,7 @@ records AS (
   REG_YEAR, o_orderkey
  FROM digits)"""
 
-# Raw codes per indicator, spelled out a second time on purpose: the oracle must not share the
+# Raw codes per indicator, spelled out a second time on purpose: the oracle must not share the
 # library's code book.
 INDICATORS = {
     "IS_I": "CAUSA_DEF LIKE 'I%'",
