@@ -12,13 +12,19 @@ from heatstrata.llm.line_dedup import without_repeated_lines
 from heatstrata.llm.mixing import mix_sources
 from heatstrata.llm.ngram_join import similar_documents
 from heatstrata.llm.perplexity_rules import quality
+from heatstrata.llm.rows import ROW, with_row_ids
+from heatstrata.llm.stored import Stored
 from heatstrata.sources.work_folder import work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rejected = quality(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    """Documents that the quality rules keep.
+
+    Judged row by row: of several rows with one doc_id, or without one, each goes or stays for its own text.
+    """
+    rows = with_row_ids(docs)
+    rejected = quality(rows, doc_id=ROW).filter(~F.col("kept")).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(rejected, ROW, "left_anti").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +39,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar documents."""
-    copies = similar_documents(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of similar documents: the one with the smallest id, a null id being the largest.
+
+    A group is made of rows: rows with one doc_id but unlike texts are in groups of their own, and of rows
+    that are equal one stays. Rows without words are similar to none; of equal ones among them one stays, too.
+    """
+    rows = with_row_ids(docs)
+    ids = rows.groupBy(ROW).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    groups = similar_documents(rows, doc_id=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("of")).distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    kept = groups.join(ids, ROW).groupBy("of").agg(F.min_by(F.struct(ROW, "copies"), order).alias("first"))
+    kept = Stored(spark)(kept.select("first.*"))
+    alone = rows.join(kept.where("copies = 1").select(ROW), ROW, "left_semi")
+    equal = rows.join(kept.where("copies > 1").select(ROW), ROW, "left_semi").dropDuplicates([ROW])
+    return alone.unionByName(equal).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    """Documents that overlap with no benchmark item, judged row by row, with or without a doc_id."""
+    rows = with_row_ids(docs)
+    return without_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=ROW).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
