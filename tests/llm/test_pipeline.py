@@ -5,7 +5,10 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from heatstrata.llm import mixing
+from heatstrata.llm.rows import with_row_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -117,3 +120,42 @@ def test_stages_equal_plain_python(spark, sf_dir, small, tmp_path, monkeypatch):
     assert sorted(map(tuple, mixed)) == sorted(map(tuple, mixing.mix_sources(spark.createDataFrame(list(inputs[4].values()), docs.schema)).collect()))
     size = {i: len(WORD.findall(t)) for i, t in texts[4].items()}
     assert {r.doc_id for r in mixed} == set(size) and all(r.taken in (0, r.size, 2 * r.size) and r.size == size[r.doc_id] for r in mixed)
+
+
+def good_text(rng, n=60):
+    return " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrs')}{rng.randrange(1000)}" for _ in range(n))
+
+
+def test_stages_judge_rows_not_ids(spark, docs_of, tmp_path):
+    """Rows without an id, and rows that share one, go or stay for their own text, in every stage."""
+    rng = random.Random(2)
+    a, b, c, item = (good_text(rng) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaking = good_text(rng, 20) + " " + item
+    rows = [(1, a), (2, a), (2, b), (None, a), (3, leaking), (3, c), (None, leaking), (None, b + " x"), (4, "x"), (4, None), (None, None), (5, c), (5, c)]
+    docs = docs_of(*rows).withColumn("n_chars", F.length("text").cast("long"))
+    texts = lambda frame: collections.Counter((r.doc_id, r.text) for r in frame.collect())
+    short = {(4, "x"), (4, None), (None, None)}
+    kept = texts(corpus_pipeline.quality_rules(spark, docs, str(tmp_path)))
+    assert kept == collections.Counter(r for r in rows if r not in short)
+    similar = texts(corpus_pipeline.ngram_join(spark, docs, str(tmp_path)))
+    assert similar == collections.Counter([(1, a), (2, b), (3, leaking), (3, c), (4, "x"), (4, None), (None, None)])
+    clean = texts(corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
+    assert clean == collections.Counter(r for r in rows if r[1] != leaking)
+    lines = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert (2, b) in texts(lines) and (1, a) in texts(lines) and (None, a) not in texts(lines)
+    mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in mixed) == collections.Counter(r[0] for r in rows)
+
+
+def test_stages_of_an_empty_table(spark, docs_of, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = docs_of().withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
+
+
+def test_row_ids(spark, docs_of):
+    rows = [(1, "a"), (1, "a"), (1, None), (None, "a"), (1, "b"), (None, None), (11, ""), (1, "1")]
+    got = [r["__row"] for r in with_row_ids(docs_of(*rows)).collect()]
+    assert got[0] == got[1] and len(set(got)) == len(rows) - 1
