@@ -24,8 +24,8 @@ from heatstrata.llm.stored import Stored
 
 #: Labelled documents that the voters and the model are fitted on, at most: so many toxic, and others (the first by hash).
 MAX_TOXIC, MAX_OTHERS = 4000, 8000
-#: Lexicon voters, at most, and candidates that are looked at.
-MAX_VOTERS, MAX_CANDIDATES = 400, 20_000
+#: Lexicon voters, at most. Every feature of a toxic text is a candidate.
+MAX_VOTERS = 400
 #: Lengths in bytes of word beginnings that are looked at, besides whole words.
 HEADS = (4, 5, 6, 7, 8, 9)
 MIN_TOXIC = 4
@@ -60,33 +60,41 @@ def _fired(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield first, pairs // max(1, len(table)), pairs % max(1, len(table))
 
 
-def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of toxic texts, with the number of texts."""
-    counts: dict[str, list] = {"k": [], "n": []}
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of texts, with the number of toxic texts and of others in a batch that have them."""
     for batch in batches:
-        toxic = batch.filter(pa.compute.equal(batch.column("toxic"), 1))
-        data, starts = words.text_bytes(toxic.column("text"))
-        for _, part, begins in words.chunks(data, starts):
-            found = words.find_words(part, begins, plain=True)
-            text_of = found.text_of()
-            for hashes, word in _features(part, found):
-                pairs = np.unique(np.stack([hashes, text_of[word].astype(np.uint64)]), axis=1)
-                keys, n = np.unique(pairs[0], return_counts=True)
-                counts["k"].append(keys)
-                counts["n"].append(n)
-    if counts["k"]:
-        keys, at = np.unique(np.concatenate(counts["k"]), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts["n"])).astype(np.int64)
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["feature", "n"])
-
-
-def _patterns(text: str | None) -> list[int]:
+        keys, counts = [], []
+        for label in (0, 1):
+            data, starts = words.text_bytes(batch.filter(pa.compute.equal(batch.column("toxic"), label)).column("text"))
+            for _, part, begins in words.chunks(data, starts):
+                found = words.find_words(part, begins, plain=True)
+                text_of = found.text_of()
+                for hashes, word in _features(part, found):
+                    pairs = np.unique(np.stack([hashes, text_of[word].astype(np.uint64)]), axis=1)
+                    key, n = np.unique(pairs[0], return_counts=True)
+                    keys.append(key)
+                    counts.append(np.stack([n * (label == 0), n * (label == 1)]))
+        if keys:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = [np.bincount(at, x, len(key)).astype(np.int64) for x in np.concatenate(counts, axis=1)]
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["feature", "other", "toxic"])
+
+
+def with_signs(docs: DataFrame) -> DataFrame:
+    """Adds the numbers of letters, capitals and double exclamation marks of each text."""
+    known = F.coalesce("text", F.lit(""))
+    counts = {"letters": r"\p{L}", "capitals": r"\p{IsUppercase}", "marks": "!!"}
+    return docs.withColumns({name: F.regexp_count(known, F.lit(pattern)) for name, pattern in counts.items()})
+
+
+_SIGNS = ("letters", "capitals", "marks")
+
+
+def _patterns(batch: pa.RecordBatch) -> np.ndarray:
     """Pattern votes: shouting capitals, rows of exclamation marks, much of both or of signs."""
-    text = text or ""
-    letters = sum(c.isalpha() for c in text) or 1
-    capitals = sum(c.isupper() for c in text)
-    marks = text.count("!!")
-    return [int(capitals > 0.5 * letters and letters > 20), int(marks > 2), int(marks > 0 and capitals > 0.3 * letters)]
+    letters, capitals, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _SIGNS)
+    some = np.maximum(letters, 1)
+    return np.stack([(capitals > 0.5 * some) & (some > 20), marks > 2, (marks > 0) & (capitals > 0.3 * some)], axis=1).astype(np.int32)
 
 
 def _votes(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -95,7 +103,7 @@ def _votes(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
         for first, text, voter in _fired(batch.column("text"), table):
             for t, v in zip(text.tolist(), voter.tolist()):
                 fired[first + t].append(v)
-        patterns = [_patterns(t) for t in batch.column("text").to_pylist()]
+        patterns = _patterns(batch).tolist()
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id"),
@@ -145,40 +153,34 @@ def _matrix(fired: list[list[int]], patterns: list[list[int]], n_voters: int) ->
     return votes
 
 
-def _choose(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The MAX_VOTERS features that tell the classes apart most surely (likelihood ratio statistic)."""
-    a, b = counts[1].astype(float), counts[0].astype(float)
-    odds = np.log((a + 0.5) / (rows[1] + 1)) - np.log((b + 0.5) / (rows[0] + 1))
-    expected = (a + b) * rows[1] / max(1, rows.sum())
-    surprise = a * np.log(np.maximum(a, 0.5) / np.maximum(expected, 1e-9)) + b * np.log(np.maximum(b, 0.5) / np.maximum(a + b - expected, 1e-9))
-    good = np.flatnonzero((odds >= MIN_ODDS) & (a >= MIN_TOXIC))
-    return np.sort(good[np.lexsort((good, -surprise[good]))[:MAX_VOTERS]])
+def _chosen_voters(labelled: DataFrame) -> np.ndarray:
+    """The MAX_VOTERS features that tell the classes apart most surely (likelihood ratio statistic), of all features.
+
+    Both classes are counted by Spark, and only the chosen voters come to the driver.
+    """
+    totals = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    others, toxics = totals.get(0, 0), totals.get(1, 0)
+    summed = labelled.select("text", "toxic").mapInArrow(_feature_counts, "feature long, other long, toxic long").groupBy("feature")
+    counts = summed.agg(F.sum("other").alias("b"), F.sum("toxic").alias("a")).where(F.col("a") >= MIN_TOXIC)
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    odds = F.log((a + 0.5) / (toxics + 1)) - F.log((b + 0.5) / (others + 1))
+    expected = (a + b) * toxics / max(1, toxics + others)
+
+    def part(n, e):
+        return n * F.log(F.greatest(n, F.lit(0.5)) / F.greatest(e, F.lit(1e-9)))
+
+    ranked = counts.where(odds >= MIN_ODDS).select("feature", (part(a, expected) + part(b, a + b - expected)).alias("surprise"))
+    best = ranked.orderBy(F.desc("surprise"), "feature").limit(MAX_VOTERS).collect()
+    return np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
 
 
 def train(labelled: DataFrame):
-    """(voters, classifier) from a bounded table of rows (doc_id, text, toxic)."""
-    toxic_rows = labelled.mapInArrow(_toxic_features, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    top = toxic_rows.filter(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()
-    table = np.sort(np.array([r.feature for r in top], np.int64).view(np.uint64))
+    """(voters, classifier) from a bounded table of rows (doc_id, text, toxic, and the signs of the text)."""
+    table = _chosen_voters(labelled)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _votes(batches, table)
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, len(table)), np.int64)
-        rows = np.zeros(2, np.int64)
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            rows += np.bincount(toxic, minlength=2)[:2]
-            for first, text, voter in _fired(batch.column("text"), table):
-                for c in (0, 1):
-                    counts[c] += np.bincount(voter[toxic[first + text] == c], minlength=len(table))
-        yield pa.record_batch([pa.array([counts.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["counts", "rows"])
-
-    parts = labelled.mapInArrow(tally, "counts binary, rows binary").collect()
-    counts = sum((np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in parts), np.zeros((2, len(table)), np.int64))
-    rows = sum((np.frombuffer(r.rows, np.int64) for r in parts), np.zeros(2, np.int64))
-    table = table[_choose(counts, rows)]
     found = labelled.mapInArrow(vote, "doc_id long, toxic int, fired array<int>, patterns array<int>").orderBy("doc_id").collect()
     votes = _matrix([r.fired for r in found], [r.patterns for r in found], len(table))
     model = LabelModel(votes, np.array([r.toxic for r in found], float))
@@ -196,7 +198,7 @@ def toxicity(
     of such a text. A null id is not held out. Repeated rows are scored alike; without labels all
     scores are the same. Other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = with_signs(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     remainder = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)), F.lit(0))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isin(0, 1) & (remainder != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -210,7 +212,7 @@ def toxicity(
             for first, texts, voter in _fired(batch.column("text"), voters):
                 for t, v in zip(texts.tolist(), voter.tolist()):
                     fired[first + t].append(v)
-            votes = _matrix(fired, [_patterns(t) for t in batch.column("text").to_pylist()], len(voters))
+            votes = _matrix(fired, _patterns(batch).tolist(), len(voters))
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(classifier.probability(votes)), pa.array([len(f) for f in fired], pa.int64())],
                 names=["doc_id", "score", "n_fired"],
