@@ -339,3 +339,54 @@ def test_sparse_sites_shrink(spark, docs_of):
     labels = spark.createDataFrame([(i, int(i < 60)) for i, *_ in rows], "doc_id long, quality int")
     got = {r.doc_id: r for r in site_quality(docs_of(*rows), labels).collect()}
     assert got[0].path_share > 0.9 > 0.1 > got[100].path_share and got[100].path_share < got[200].path_share < got[0].path_share
+
+
+def test_toxic_voters_equal_plain_counts(spark):
+    """All features of toxic texts are candidates; the best by likelihood ratio are chosen, however rare."""
+    import math
+
+    import numpy as np
+
+    from heatstrata.llm import toxicity, words
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        w = [f"common{rng.randrange(40)}" for _ in range(30)] + ([f"slur{rng.randrange(3)}", "uglyword"] if toxic and rng.random() < 0.8 else [])
+        rows.append((i, " ".join(rng.sample(w, len(w))), toxic))
+
+    def features(text):
+        out = set()
+        for w in re.findall("[0-9a-z]+", text.lower()):
+            h = words.hash_text(w)
+            out.add(int(h[0]))
+            for size in toxicity.HEADS:
+                if len(w) > size:
+                    out.add(int(words.mix(words.hash_text(w[:size]) + np.uint64(size))[0]))
+        return out
+
+    a, b = collections.Counter(), collections.Counter()
+    for _, text, toxic in rows:
+        (a if toxic else b).update(features(text))
+    n1 = sum(r[2] for r in rows)
+    n0 = len(rows) - n1
+    wanted = {}
+    for f, x in a.items():
+        y = b[f]
+        odds = math.log((x + 0.5) / (n1 + 1)) - math.log((y + 0.5) / (n0 + 1))
+        e = (x + y) * n1 / len(rows)
+        if x >= toxicity.MIN_TOXIC and odds >= toxicity.MIN_ODDS:
+            wanted[f] = x * math.log(max(x, 0.5) / e) + y * math.log(max(y, 0.5) / max(x + y - e, 1e-9))
+    got = toxicity._chosen_voters(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert {int(f) for f in got} == set(wanted) and len(wanted) >= 4
+    assert list(got) == sorted(got)
+
+
+def test_signs_of_texts(spark):
+    from heatstrata.llm import toxicity
+
+    texts = ["SHOUTING ALL OF THIS TEXT NOW", "a!!b!!c!!!!", "Ärger ÄÖÜ ß 中文 Ⓐ", "", None, "!!! Xy"]
+    rows = toxicity.with_signs(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    plain = [(sum(c.isalpha() for c in t or ""), sum(c.isupper() for c in t or ""), (t or "").count("!!")) for t in texts]
+    assert [(r.letters, r.capitals, r.marks) for r in rows] == plain
