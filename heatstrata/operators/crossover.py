@@ -166,12 +166,6 @@ def stratum_patterns(
     )
 
 
-def add_patterns(patterns: DataFrame, by: Sequence[str], weights: Sequence[str]) -> DataFrame:
-    """The patterns of several disjoint parts, added up; ``by`` keeps groups apart."""
-    sums = [c for w in weights for c in (w, f"{w}#2") if c in patterns.columns]
-    return patterns.groupBy(*by, "variable", "type", "xc", "n1", "n0").agg(*[F.sum(f"`{c}`").alias(c) for c in sums])
-
-
 def unpivot_weights(
     patterns: DataFrame, families: Mapping[str, str], by: Sequence[str] = ()
 ) -> DataFrame:

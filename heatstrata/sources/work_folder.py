@@ -1,4 +1,8 @@
-"""The shared folder for tables that a job writes and reads again."""
+"""The shared folder for tables that a job writes and reads again.
+
+All of an application's work lies in one folder named after it, its owner: ``remove_work`` takes it away
+when its results have been read, and what a stopped application left can be told from others' by name.
+"""
 
 from __future__ import annotations
 
@@ -24,4 +28,15 @@ def work_folder(spark: SparkSession) -> str:
         if app not in _local_folders:
             _local_folders[app] = tempfile.mkdtemp(prefix="heatstrata-")
         base = _local_folders[app]
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{owner(spark)}/work-{uuid.uuid4().hex}"
+
+
+def owner(spark: SparkSession) -> str:
+    return f"heatstrata-{spark.sparkContext.applicationId}"
+
+
+def remove_work(spark: SparkSession) -> bool:
+    """Delete all work tables of this application; tables read from them cannot be read again. True if there were any."""
+    folder = work_folder(spark).rsplit("/", 1)[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

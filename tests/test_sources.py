@@ -187,3 +187,15 @@ def test_a_clustered_split_has_few_files_and_skips(spark, tmp_path):
         parts = sorted(r[1:] for r in ranges if r[0] == folder)
         assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:])), "files of a period hold separate ranges"
     assert sorted(spark.read.parquet(sorted_).select("id").toPandas()["id"]) == list(range(20_000))
+
+
+def test_work_of_an_application_can_be_removed(spark):
+    from heatstrata.sources.work_folder import owner, remove_work
+
+    other = f"{spark.conf.get('spark.checkpoint.dir')}/another-application/t"
+    for path in (work_folder(spark), work_folder(spark), other):
+        spark.range(3).write.mode("overwrite").parquet(path)
+    assert owner(spark) in work_folder(spark)
+    assert remove_work(spark) and not remove_work(spark)
+    assert spark.read.parquet(other).count() == 3
+    assert work_folder(spark) != work_folder(spark)
