@@ -304,6 +304,60 @@ def test_each_license_notice_is_a_row(docs_of):
     assert {(r.doc_id, r.doc_begin, r.doc_end) for r in found if r.coverage == 1} == expected and len(found) == len(expected)
 
 
+def test_every_license_is_found_with_its_span(docs_of):
+    """Each template in full inside other text, and with a word changed, left out or put in every fifteen or so."""
+    rng = random.Random(6)
+    filler = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, expect = [], {}
+    for i, (name, text) in enumerate(license_scan.TEMPLATES):
+        plain = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text)
+        rows.append((i, f"{filler(30)}\n{text}\n{filler(20)}"))
+        expect[i] = (name, 30, 30 + len(plain))
+        if len(plain) > 60:
+            changed = []
+            for j, w in enumerate(plain):
+                changed += [f"x{j}"] if j % 31 == 7 else [] if j % 37 == 11 else [w, "extra"] if j % 41 == 20 else [w]
+            rows.append((1000 + i, f"{filler(12)} {' '.join(changed)} {filler(9)}"))
+            expect[1000 + i] = (name, 12, 12 + len(changed))
+    got = {}
+    for r in license_scan.licenses(docs_of(*rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.doc_begin, r.doc_end))
+    assert {d: len(v) for d, v in got.items()} == {d: 1 for d in expect}
+    assert {d: v[0][:2] for d, v in got.items()} == {d: e[:2] for d, e in expect.items()}
+    # an alignment ends with an equal word: what was changed at the very end is not part of it
+    assert all(got[d][0][2] == end if d < 1000 else end - 3 < got[d][0][2] <= end for d, (_, _, end) in expect.items())
+
+
+def best_alignment(template, doc, sign):
+    """Most (sign 1) or fewest (-1) matched words of the best local alignments over all cells: a match counts 1, a difference or gap -1."""
+    before, best = [(0, 0)] * (len(doc) + 1), (0, 0)
+    for w in template:
+        row = [(0, 0)]
+        for j, x in enumerate(doc):
+            cell = max((before[j][0] + (1 if x == w else -1), before[j][1] + sign * (x == w)), (before[j + 1][0] - 1, before[j + 1][1]), (row[-1][0] - 1, row[-1][1]))
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1])
+        before = row
+    return sign * best[1]
+
+
+def test_aligner_equals_the_whole_matrix(docs_of):
+    """Texts with up to eight words shifted: the banded alignment matches as many words as one over all cells."""
+    rng = random.Random(16)
+    template = [f"t{i}" for i in range(50)]
+    rows = []
+    for i in range(40):
+        w = list(template)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1])] = [f"x{rng.random()}".replace(".", "")] * rng.choice([0, 1, 1])
+        rows.append((i, " ".join(["a"] * rng.randrange(20) + w + ["b"] * rng.randrange(20))))
+    got = {r.doc_id: r.n_matched for r in license_scan.licenses(docs_of(*rows), templates=(("T", " ".join(template)),)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert best_alignment(template, t.split(), -1) <= got[i] <= best_alignment(template, t.split(), 1), i
+
+
 def test_license_lines_of_the_table(spark, sf_dir, small):
     _, docs = small
     found = {r.doc_id for r in queries.QUERIES["op7_license_scan"](spark, sf_dir).collect()}
