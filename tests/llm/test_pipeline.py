@@ -159,3 +159,5 @@ def test_row_ids(spark, docs_of):
     rows = [(1, "a"), (1, "a"), (1, None), (None, "a"), (1, "b"), (None, None), (11, ""), (1, "1")]
     got = [r["__row"] for r in with_row_ids(docs_of(*rows)).collect()]
     assert got[0] == got[1] and len(set(got)) == len(rows) - 1
+    plain = [(7, "a"), (3, None), (3, None), (5, "a")]
+    assert [r["__row"] for r in with_row_ids(docs_of(*plain)).collect()] == [7, 3, 3, 5]
