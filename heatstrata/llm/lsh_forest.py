@@ -12,6 +12,10 @@
 4. Regions that still hold several components get the full sets of the classes that may link them, and
    every such pair is compared there, by products of the token matrix. No pairs are sent around.
    A region whose classes are all connected is done, so crowds of near copies never meet pair by pair.
+5. A run that was cut, by its length or by the end of a task's range, and that still holds several
+   components is joined whole and exactly: its sets meet at each token of their prefixes (rarest tokens
+   first; two sets that link share one), in blocks of BLOCK sets by BLOCK, and the pairs that bounds on
+   the intersection leave are confirmed on the full sets. The cuts thus lose no link.
 
 Two sets with the lowest similarity that counts (0.8) share SHALLOW values in a tree with probability
 0.51, thus no region at all with 3e-8; a pair that agrees in fewer than AGREE values has at most 4e-5.
@@ -42,6 +46,8 @@ VALUES, TREES = 96, 24
 SHALLOW, DEEP = 3, 8
 #: Classes in a region at most.
 REGION = 256
+#: Sets of one token that meet in a task: twice as many at most. Bits of the sketch that bounds an intersection.
+BLOCK, BITS = 2048, 1024
 #: Equal values of a pair that may be similar: four standard deviations below 77 of 96, and surely similar.
 AGREE, SURELY = 61, 84
 #: Longest list of set digests that is broadcast (some 40 bytes a row); beyond it the join is shuffled.
@@ -124,21 +130,28 @@ def _cut(common: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of two classes or more, of rows sorted by place. Holds a batch and an open run's last REGION rows."""
-    number = TaskContext.get().partitionId() << 36
+    """Regions of two classes or more, of rows sorted by place. Holds a batch and an open run's last REGION rows.
+
+    Rows of a cut run also name the run; there, a region may be one class. The first and the last run of the
+    rows count as cut: they may go on in other tasks.
+    """
+    number, torn = TaskContext.get().partitionId() << 36, True
     places, keys = np.zeros((0, 2 * DEEP + 1), np.uint8), pa.array([], pa.binary())
 
-    def close(end: int, runs: list[int]) -> Iterator[pa.RecordBatch]:
+    def close(end: int, runs: list[int], goes_on: bool) -> Iterator[pa.RecordBatch]:
         nonlocal number
-        ids, at = [], []
+        ids, at, names = [], [], []
         for a, b in zip(runs, [*runs[1:], end]):
-            for first, last in _cut(common[a:b]) if b - a > 1 else ():
-                if last - first > 1:
+            cut = b - a > REGION or (torn and a == 0) or (goes_on and b == end)
+            for first, last in _cut(common[a:b]) if cut or b - a > 1 else ():
+                if cut or last - first > 1:
                     number += 1
                     ids.append(np.full(last - first, number, np.int64))
                     at.append(np.arange(a + first, a + last))
+                    names += [places[a, : 2 * SHALLOW + 1].tobytes() if cut else None] * (last - first)
         if ids:
-            yield pa.record_batch([pa.array(np.concatenate(ids)), keys.take(pa.array(np.concatenate(at)))], names=["region", "key"])
+            columns = [pa.array(np.concatenate(ids)), keys.take(pa.array(np.concatenate(at))), pa.array(names, pa.binary())]
+            yield pa.record_batch(columns, names=["region", "key", "run"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -148,16 +161,18 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _common(places)
         runs = [int(i) for i in np.flatnonzero(common < SHALLOW)]
         keep = runs[-1]
-        if len(places) - keep > 2 * REGION:  # the open run is long: its first regions can be cut off
+        long = len(places) - keep > 2 * REGION
+        if long:  # the open run's first regions can be cut off
             keep += list(_cut(common[keep:]))[-2][0]
             runs = [r for r in runs if r < keep]
         else:
             runs.pop()
-        yield from close(keep, runs)
+        yield from close(keep, runs, long)
+        torn = long or (torn and not keep)
         places, keys = places[keep:], keys.slice(keep)
     if len(places):
         common = _common(places)
-        yield from close(len(places), [0])
+        yield from close(len(places), [0], True)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -291,6 +306,77 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in words.slices(batches, 256):
+        sets = [np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")]
+        if sets:
+            at = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+            yield pa.record_batch([batch.column("key").take(pa.array(at)), pa.array(np.concatenate(sets))], names=["key", "token"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size of each set, and BITS parities: no more of them differ between two sets than tokens do."""
+    for batch in words.slices(batches, 256):
+        sets = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column("tokens")]
+        bits = [np.packbits(np.bincount((words.mix(t) % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 > 0).tobytes() for t in sets]
+        columns = [batch.column("key"), batch.column("label"), pa.array([len(t) for t in sets], pa.int64()), pa.array(bits, pa.binary())]
+        yield pa.record_batch(columns, names=["key", "label", "n", "bits"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs under different labels that meet in a cell and whose intersection may be large enough."""
+    for table in _whole_groups(batches, "cell"):
+        table = table.combine_chunks()
+        cell, n, rest, block = (table[c].to_numpy() for c in ("cell", "n", "rest", "block"))
+        labels = np.unique(np.frombuffer(b"".join(table["label"].to_pylist()), "V16"), return_inverse=True)[1]
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        key = table["key"].combine_chunks()
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        found, held = [], 0
+        for a, b in zip(first, [*first[1:], len(cell)]):
+            one = (block[a:b] == block[a]).all()
+            for i in range(a + 1, b):
+                both = n[a:i] + n[i]
+                may = (labels[a:i] != labels[i]) & ((100 + percent) * np.minimum(rest[a:i], rest[i]) >= percent * both)
+                j = a + np.flatnonzero(may if one else may & (block[a:i] != block[i]))
+                if len(j):
+                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    j = j[(100 + percent) * (n[j] + n[i] - differ) >= 2 * percent * (n[j] + n[i])]
+                    found.append((np.full(len(j), i), j))
+                    held += len(j)
+                if held > 100_000:
+                    yield _both_keys(key, found)
+                    found, held = [], 0
+        if held:
+            yield _both_keys(key, found)
+
+
+def _both_keys(key: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.record_batch([key.take(pa.array(np.concatenate(side))) for side in zip(*found)], names=["a", "b"])
+
+
+def _prefix_pairs(rest: DataFrame, store: Stored, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets under different labels that may link, of rest (key, label, tokens).
+
+    Tokens are ordered by their number of sets. Of two sets that link, the first common token has enough tokens
+    behind it in both, itself included. A token of many sets deals them to blocks, and each two blocks are a cell.
+    """
+    listed = rest.select("key", "tokens").mapInArrow(_tokens, "key binary, token long")
+    often = listed.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = listed.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
+    sketches = rest.select("key", "label", "tokens").mapInArrow(_sketches, "key binary, label binary, n long, bits binary")
+    at = sketches.join(shared, "key").select("key", "label", "n", "bits", F.size("shared").alias("m"), F.posexplode("shared").alias("i", "at"))
+    places = at.select("key", "label", "n", "bits", F.col("at.token").alias("token"), (F.col("m") - F.col("i")).cast("long").alias("rest"))
+    places = store(places.where(100 * F.col("rest") >= percent * F.col("n")))
+    met = places.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+    blocks = places.join(met.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
+    dealt = blocks.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    cells = dealt.select(cell, "key", "label", "n", "rest", "block", "bits").repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(functools.partial(_meet, percent=percent), "a binary, b binary")
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in words.slices(batches, 500):
         rows = [(_digest(t), t.tobytes()) for t in _sets(batch.column("text"), size) if len(t)]
@@ -315,7 +401,7 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = classes.select("key", "values").mapInArrow(_orders, "place binary, key binary")
     ordered = orders.repartitionByRange(max(ranges, classes.count() * TREES >> 21), "place").sortWithinPartitions("place")
-    regions = store(ordered.mapInArrow(_regions, "region long, key binary"))
+    regions = store(ordered.mapInArrow(_regions, "region long, key binary, run binary"))
     live = store(regions.select("key").distinct())
     few = live.count() <= BROADCAST_ROWS
     sets = texts.mapInArrow(functools.partial(_full_sets, size=size), "key binary, tokens binary")
@@ -336,18 +422,23 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
         named = components(links, store).withColumnRenamed("node", "key").withColumnRenamed("label", "new")
         return store(live.join(named, "key", "left").select("key", F.coalesce("new", "key").alias("label")))
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        filled = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a")
+        filled = filled.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
+        return store(filled.select("a", "b", "left", "right").mapInArrow(functools.partial(_confirm, percent=percent), "a binary, b binary, linked boolean"))
+
+    def ordered_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
     tested = links = None
     for choose in PASSES:
         proposed = opened().mapInArrow(functools.partial(_propose, choose=choose, percent=percent), "a binary, b binary, region long")
         if choose is _star:
             proposed = proposed.groupBy("a").agg(F.min_by("b", "region").alias("b"))
-        pairs = proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = ordered_pairs(proposed)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        filled = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a")
-        filled = filled.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
-        found = store(filled.select("a", "b", "left", "right").mapInArrow(functools.partial(_confirm, percent=percent), "a binary, b binary, linked boolean"))
+        found = confirmed(store(pairs))
         tested = found if tested is None else tested.union(found)
         links = tested.where("linked").select("a", "b")
         labels = labelled_by(links)
@@ -355,7 +446,17 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     with_sets = asked.join(sets, "key").repartition("region").sortWithinPartitions("region", "key").select(*by_region, "tokens")
     more = store(with_sets.mapInArrow(functools.partial(_compare, percent=percent), "a binary, b binary, region long").select("a", "b"))
     if more.limit(1).count():
-        labels = labelled_by(links.union(more))
+        links = links.union(more)
+        labels = labelled_by(links)
+    torn = regions.where("run IS NOT NULL").select("run", "key").join(labels, "key")
+    mixed = store(torn.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("run"))
+    if runs := mixed.count():
+        mixed = F.broadcast(mixed) if runs <= BROADCAST_ROWS else mixed
+        apart = store(torn.join(mixed, "run", "left_semi").select("key", "label").distinct())
+        pairs = store(ordered_pairs(_prefix_pairs(apart.join(sets, "key"), store, percent)))
+        found = confirmed(pairs).where("linked").select("a", "b")
+        if found.limit(1).count():
+            labels = labelled_by(links.union(found))
     keyed = described.select("doc_id", "n", "key").join(labels, "key", "left").select("doc_id", "n", F.coalesce("label", "key").alias("label"))
     smallest = keyed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     done = keyed.join(smallest, "label", "left")

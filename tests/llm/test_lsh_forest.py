@@ -76,6 +76,59 @@ def test_a_crowd_of_many_regions(docs_of):
     assert run(docs_of, rows) == brute_force(rows)
 
 
+def test_ends_of_tasks_lose_no_link(spark, docs_of):
+    """So few rows over so many tasks that two neighbours are in one task only if all DEEP values are equal; these have no such tree."""
+    rows = [(i, " ".join([f"s272_{j}" for j in range(92)] + [f"{own}272_{j}" for j in range(10)])) for i, own in enumerate("ab")]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 120)
+    try:
+        assert run(docs_of, rows) == brute_force(rows) == [(0, 99, 0), (1, 99, 0)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_cut_runs_are_named():
+    """Every class of a run that was cut has the run's name, however the rows come; other runs have none."""
+    runs = [(1, 3), (2, 1), (3, 700), (4, 5), (5, lf.REGION + 1), (6, 1), (7, 9), (8, 1)]
+    places = [b"\0" + run.to_bytes(2, "big") * 3 + (i // 3).to_bytes(2, "big") * 5 for run, n in runs for i in range(n)]
+    keys = [i.to_bytes(2, "big") for i in range(len(places))]
+    torn = {i for i, p in enumerate(places) if p[2] in (1, 3, 5, 8)}
+    for step in (1, 97, 1000):
+        batches = [pa.record_batch([pa.array(places[i : i + step]), pa.array(keys[i : i + step])], names=["place", "key"]) for i in range(0, len(places), step)]
+        out = pa.Table.from_batches(list(_with_task(lf._regions, iter(batches)))).to_pylist()
+        named = {int.from_bytes(r["key"], "big"): r["run"] for r in out if r["run"]}
+        assert set(named) == torn and all(places[i].startswith(run) for i, run in named.items())
+
+
+def test_sets_meet_in_blocks(spark):
+    """Cells of several blocks give the pairs that comparing all sets gives, under different labels only."""
+    rng = random.Random(9)
+    base = list(range(1, 91))
+    sets = [sorted({t if rng.random() > 0.04 else rng.randrange(1, 1 << 40) for t in base}) for _ in range(400)]
+    key = [i.to_bytes(16, "big") for i in range(400)]
+    rest = [(key[i], key[i % 390], np.array(t, np.uint64).tobytes()) for i, t in enumerate(sets)]
+    cells = []
+    for blocks in (1, 3):
+        for x in range(blocks):
+            for y in range(x, blocks):
+                rows = [i for i in range(400) if i % blocks in (x, y)]
+                described = pa.record_batch([pa.array(c, pa.binary()) for c in zip(*(rest[i] for i in rows))], names=["key", "label", "tokens"])
+                made = pa.Table.from_batches(list(lf._sketches(iter([described])))).combine_chunks().to_batches()[0]
+                n = made["n"].to_numpy()
+                columns = {**{c: made[c] for c in ("key", "label", "n", "bits")}, "rest": pa.array(n), "block": pa.array([i % blocks for i in rows], pa.int32())}
+                cells.append((blocks, pa.record_batch({"cell": pa.array(np.full(len(rows), len(cells))), **columns})))
+    links = {(key[a], key[b]) for a in range(400) for b in range(a) if a % 390 != b % 390 and _links(set(sets[a]), set(sets[b]))}
+    for blocks in (1, 3):
+        met = [(r["a"], r["b"]) for out in lf._meet(iter([c for k, c in cells if k == blocks]), 80) for r in out.to_pylist()]
+        met = {(max(p), min(p)) for p in met}
+        assert links <= met and all(int.from_bytes(a, "big") % 390 != int.from_bytes(b, "big") % 390 for a, b in met)
+        assert len(met - links) < 0.25 * (400 * 399 / 2 - len(links))
+
+
+def _links(a, b):
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
 def test_odd_rows(docs_of):
     long = " ".join(f"w{i % 4001}x{i % 17}" for i in range(60_000))
     rows = [
