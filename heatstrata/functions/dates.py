@@ -49,10 +49,12 @@ def column_layout(df: DataFrame, name: str, layouts=DATE_LAYOUTS) -> str | None:
 def layout_votes(df: DataFrame, name: str, group: str, layouts=DATE_LAYOUTS) -> DataFrame:
     """For each group of rows (a file): how many values of the column each layout fits. Mergeable counters.
 
-    Columns ``n`` (values) and ``fits`` (a count per layout).
+    Columns ``n`` (values) and ``fits`` (a count per layout). Each distinct value of a group is tried once: most
+    layouts do not fit it, and a misfit costs much more than a fit.
     """
-    fits = [F.count_if(F.try_to_date(F.col(name), layout).isNotNull()) for layout in layouts]
-    return df.groupBy(group).agg(F.count(F.col(name)).alias("n"), F.array(*fits).alias("fits"))
+    values = df.groupBy(F.col(group).alias("group"), F.col(name).alias("value")).agg(F.count(F.col(name)).alias("n"))
+    fits = [F.coalesce(F.sum(F.when(F.try_to_date("value", layout).isNotNull(), F.col("n"))), F.lit(0)) for layout in layouts]
+    return values.groupBy(F.col("group").alias(group)).agg(F.sum("n").alias("n"), F.array(*fits).alias("fits"))
 
 
 def chosen_layout(votes: DataFrame, group: str, rule: str = "most", layouts=DATE_LAYOUTS) -> DataFrame:
@@ -69,9 +71,13 @@ def chosen_layout(votes: DataFrame, group: str, rule: str = "most", layouts=DATE
 
 
 def dates_by_group(df: DataFrame, name: str, group: str, layouts: DataFrame) -> DataFrame:
-    """The column as a date, read in the layout that its group has; null where that does not fit."""
+    """The column as a date, read in the layout that its group has; null where that does not fit.
+
+    A generator keeps later filters and columns from reading each text again at every place they name the date.
+    """
     joined = df.join(layouts.select(group, F.col("layout").alias("_layout")), group, "left")
-    return joined.withColumn(name, F.coalesce(*[F.when(F.col("_layout") == x, F.try_to_date(F.col(name), x)) for x in DATE_LAYOUTS])).drop("_layout")
+    date = F.coalesce(*[F.when(F.col("_layout") == x, F.try_to_date(F.col(name), x)) for x in DATE_LAYOUTS])
+    return joined.withColumn("_date", F.explode(F.array(date))).withColumn(name, F.col("_date")).drop("_layout", "_date")
 
 
 def iso_weekday(date: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,30 +33,24 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of a task, if it begins its file. Nothing is read after it."""
-    for batch in batches:
-        if batch.num_rows:
-            if batch.column("start")[0].as_py() == 0:
-                yield batch.slice(0, 1)
-            return
-
-
 def header_catalogue(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file, line): the first line of every file that is not empty, in one job however many files there are.
 
-    Each task has one piece of one file and stops after its first line, so a file costs one small read.
+    Each task must have one piece of one file (``headers_by_file`` sees to it): its first row is the one
+    numbered 0, and the first piece's is the header. Rows go no further than this filter in the scan.
     Lines are read by the text source: a header must not have a line break inside quotes.
     """
     lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
-    first = lines.mapInArrow(_first_row, "file string, start long, line string")
-    return first.select("file", "line")
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"),
+    )
+    return lines.where("row = 0 AND start = 0").select("file", "line")
 
 
 def headers_by_file(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, tuple[str, ...]]:
     """Column names of each file that has a line, by the catalogue; the rows are as many as the files."""
-    one_file_a_task = {"spark.sql.files.openCostInBytes": str(1 << 40), "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    one_file_a_task = {"spark.sql.files.openCostInBytes": str(1 << 40)}
     with _settings(spark, one_file_a_task):
         found = {unquote(r.file): r.line for r in header_catalogue(spark, paths).collect()}
     # The catalogue's lines are parsed as CSV once per distinct header, not per file.

@@ -9,6 +9,7 @@ from heatstrata.functions import dates
 from heatstrata.operators import reports
 from heatstrata.operators.columns import MissingColumns
 from heatstrata.plans.combine import combine_and_split
+from heatstrata.sources import readers
 
 
 def put(path, text):
@@ -39,6 +40,33 @@ def test_votes_of_parts_add_up(spark):
     assert merged.first().n == 2 and dates.chosen_layout(merged, "f").first().layout == "dd/MM/yyyy"
 
 
+def test_values_are_tried_once(spark):
+    rows = [("a", "13/02/2001")] * 5 + [("a", "01/02/2001")] * 3 + [("a", None), ("b", None), (None, "2001-02-03")]
+    votes = dates.layout_votes(spark.createDataFrame(rows, "f string, d string"), "d", "f")
+    at = {x: i for i, x in enumerate(dates.DATE_LAYOUTS)}
+    got = {r.f: (r.n, r.fits[at["dd/MM/yyyy"]], r.fits[at["MM/dd/yyyy"]], r.fits[at["yyyy-MM-dd"]]) for r in votes.collect()}
+    assert got == {"a": (8, 8, 3, 0), "b": (0, 0, 0, 0), None: (1, 0, 0, 1)}
+    inner = votes._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")
+    assert len(inner) == 3 and "gettimestamp" in inner[1] and "gettimestamp" not in inner[2]
+
+
+def test_dates_are_read_once(spark):
+    df = spark.createDataFrame([("a", "13/02/2001"), ("b", "?")], "f string, d string")
+    layouts = spark.createDataFrame([("a", "dd/MM/yyyy"), ("b", None)], "f string, layout string")
+    dated = dates.dates_by_group(df, "d", "f", layouts)
+    later = dated.where((F.year("d") > 2000) & (F.year("d") < 2010)).withColumn("m", F.month("d"))
+    assert later._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == len(dates.DATE_LAYOUTS)
+    assert dated.columns == ["f", "d"] and [(r.f, str(r.d), r.m) for r in later.collect()] == [("a", "2001-02-13", 2)]
+
+
+def test_headers_are_found_without_python(spark, tmp_path):
+    put(tmp_path / "1.csv", "a,b\n" + "1,2\n" * 1000)
+    put(tmp_path / "2.csv", "b,a\n")
+    found = readers.header_catalogue(spark, str(tmp_path))
+    assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(readers.headers_by_file(spark, str(tmp_path)).values()) == [("a", "b"), ("b", "a")]
+
+
 def test_combine_and_split(spark, tmp_path):
     a = put(tmp_path / "1.csv", "date_of_occurrence,ENT_OCURR,MUN_OCURR,IS_I\n1998-01-31,1,2,1\n2003-01-01,1,2,0\n1950-01-01,1,1,1\nbad,1,1,1\n")
     b = put(tmp_path / "2.csv", "IS_I,MUN_OCURR,ENT_OCURR,Date_of_Occurrence,EXTRA\n9.0,4,3,01/31/1999,q\nx,4,3,02/03/1999,r\n")

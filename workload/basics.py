@@ -158,9 +158,10 @@ def combine_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark)
     clean = mortality.clean_deaths(death_records(spark, sf_dir).withColumn("YEAR_FILE", F.col("REG_YEAR")), "YEAR_FILE")
     clean = clean.withColumn("year", F.year("date_of_occurrence"))
-    for k, layout in enumerate(("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")):
-        part = clean.where(F.coalesce(F.col("year"), F.lit(0)) % 3 == k).withColumn("date_of_occurrence", F.date_format("date_of_occurrence", layout))
-        part.write.mode("append").option("header", True).partitionBy("year").csv(f"{folder}/yearly")
+    third = F.coalesce(F.col("year"), F.lit(0)) % 3
+    layouts = [F.when(third == k, F.date_format("date_of_occurrence", x)) for k, x in enumerate(("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"))]
+    yearly = clean.withColumn("date_of_occurrence", F.coalesce(*layouts))
+    yearly.write.option("header", True).partitionBy("year").csv(f"{folder}/yearly")
     split = combine.combine_and_split(spark, [f"{folder}/yearly"], f"{folder}/out", periods=PERIODS)
     return split.select("date_of_occurrence", "ENT_OCURR", "MUN_OCURR", *mortality.SEX_COLUMNS, "year_period")
 
