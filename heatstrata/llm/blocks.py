@@ -66,10 +66,11 @@ def member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return place
 
 
-def count_blocks(docs: DataFrame, text: str) -> int:
-    """Blocks of about BLOCK_BYTES; not fewer than the shuffle partitions of the session."""
+def count_blocks(docs: DataFrame, text: str, least: int = 0) -> int:
+    """Blocks of about BLOCK_BYTES; not fewer than the shuffle partitions of the session, unless they would have under ``least`` bytes."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(math.ceil(total / BLOCK_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(total / BLOCK_BYTES), min(tasks, math.ceil(total / least)) if least else tasks)
 
 
 def in_blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:

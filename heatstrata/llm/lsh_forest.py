@@ -13,9 +13,10 @@
    every such pair is compared there, by products of the token matrix. No pairs are sent around.
    A region whose classes are all connected is done, so crowds of near copies never meet pair by pair.
 5. A run that was cut, by its length or by the end of a task's range, and that still holds several
-   components is joined whole and exactly: its sets meet at each token of their prefixes (rarest tokens
-   first; two sets that link share one), in blocks of BLOCK sets by BLOCK, and the pairs that bounds on
-   the intersection leave are confirmed on the full sets. The cuts thus lose no link.
+   components is joined whole and exactly: its sets meet at the rarest tokens that occur under several
+   components (two sets of different components that link have one of a few in common), in blocks of BLOCK
+   sets by BLOCK, and the pairs that bounds on the intersection leave are confirmed on the full sets. The
+   cuts thus lose no link.
 
 Two sets with the lowest similarity that counts (0.8) share SHALLOW values in a tree with probability
 0.51, thus no region at all with 3e-8; a pair that agrees in fewer than AGREE values has at most 4e-5.
@@ -37,8 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatstrata.llm import words
+from heatstrata.llm import blocks, words
 from heatstrata.llm.components import components
+from heatstrata.llm.ngram_join import rarest_shared
 from heatstrata.llm.stored import Stored
 
 VALUES, TREES = 96, 24
@@ -48,6 +50,8 @@ SHALLOW, DEEP = 3, 8
 REGION = 256
 #: Sets of one token that meet in a task: twice as many at most. Bits of the sketch that bounds an intersection.
 BLOCK, BITS = 2048, 1024
+#: Bytes of sets, at least, for which the exact join has one more block of the token matrix.
+PIECE_BYTES = 1 << 20
 #: Equal values of a pair that may be similar: four standard deviations below 77 of 96, and surely similar.
 AGREE, SURELY = 61, 84
 #: Longest list of set digests that is broadcast (some 40 bytes a row); beyond it the join is shuffled.
@@ -306,21 +310,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in words.slices(batches, 256):
-        sets = [np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")]
-        if sets:
-            at = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
-            yield pa.record_batch([batch.column("key").take(pa.array(at)), pa.array(np.concatenate(sets))], names=["key", "token"])
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size of each set, and BITS parities: no more of them differ between two sets than tokens do."""
     for batch in words.slices(batches, 256):
         sets = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column("tokens")]
         bits = [np.packbits(np.bincount((words.mix(t) % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 > 0).tobytes() for t in sets]
-        columns = [batch.column("key"), batch.column("label"), pa.array([len(t) for t in sets], pa.int64()), pa.array(bits, pa.binary())]
-        yield pa.record_batch(columns, names=["key", "label", "n", "bits"])
+        others = [c for c in batch.schema.names if c != "tokens"]
+        columns = [*(batch.column(c) for c in others), pa.array([len(t) for t in sets], pa.int64()), pa.array(bits, pa.binary())]
+        yield pa.record_batch(columns, names=[*others, "n", "bits"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -356,21 +353,22 @@ def _both_keys(key: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.
 
 
 def _prefix_pairs(rest: DataFrame, store: Stored, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets under different labels that may link, of rest (key, label, tokens).
+    """All pairs (a, b) of sets under different labels that may link, of stored rest (cls, key, label, tokens).
 
-    Tokens are ordered by their number of sets. Of two sets that link, the first common token has enough tokens
-    behind it in both, itself included. A token of many sets deals them to blocks, and each two blocks are a cell.
+    Blocks of sets learn from the token-group matrix of the n-gram join which tokens occur under several labels: a token
+    is one entry of a block, however many of its sets have it. Only tokens that a set asks are rows: the rarest of those,
+    as many as a link can spare. A token that many sets ask deals them to blocks, and each two blocks are a cell.
+    Labels are told apart by 64-bit hashes, as tokens are.
     """
-    listed = rest.select("key", "tokens").mapInArrow(_tokens, "key binary, token long")
-    often = listed.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared = listed.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
-    sketches = rest.select("key", "label", "tokens").mapInArrow(_sketches, "key binary, label binary, n long, bits binary")
-    at = sketches.join(shared, "key").select("key", "label", "n", "bits", F.size("shared").alias("m"), F.posexplode("shared").alias("i", "at"))
-    places = at.select("key", "label", "n", "bits", F.col("at.token").alias("token"), (F.col("m") - F.col("i")).cast("long").alias("rest"))
-    places = store(places.where(100 * F.col("rest") >= percent * F.col("n")))
+    labels = rest.select("cls", F.xxhash64("label")).toDF("cls", "label")
+    asked = rarest_shared(rest.select("cls", "tokens"), labels, percent, blocks.count_blocks(rest, "tokens", least=PIECE_BYTES), store)
+    sketches = store(rest.select("cls", "key", "label", "tokens").mapInArrow(_sketches, "cls long, key binary, label binary, n long, bits binary"))
+    places = asked.select("cls", "label", "bound", F.posexplode("asked").alias("i", "token"))
     met = places.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-    blocks = places.join(met.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
-    dealt = blocks.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    met = store(met.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    places = places.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "token")
+    dealt = places.select("cls", "token", "blocks", (F.col("bound") - F.col("i")).alias("rest")).join(sketches, "cls")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
     cells = dealt.select(cell, "key", "label", "n", "rest", "block", "bits").repartition("cell").sortWithinPartitions("cell")
@@ -452,8 +450,9 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     mixed = store(torn.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("run"))
     if runs := mixed.count():
         mixed = F.broadcast(mixed) if runs <= BROADCAST_ROWS else mixed
-        apart = store(torn.join(mixed, "run", "left_semi").select("key", "label").distinct())
-        pairs = store(ordered_pairs(_prefix_pairs(apart.join(sets, "key"), store, percent)))
+        apart = torn.join(mixed, "run", "left_semi").select("key", "label").distinct().join(sets, "key")
+        apart = store(apart.select(F.monotonically_increasing_id().alias("cls"), "key", "label", "tokens"))
+        pairs = store(ordered_pairs(_prefix_pairs(apart, store, percent)))
         found = confirmed(pairs).where("linked").select("a", "b")
         if found.limit(1).count():
             labels = labelled_by(links.union(found))

@@ -371,15 +371,24 @@ def _labels(classes: DataFrame, grouped: DataFrame) -> DataFrame:
     return of.join(least, "part_of").select("cls", "label", "members")
 
 
-def _between(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, store: Stored) -> DataFrame:
-    """Links between sets of different groups."""
+def rarest_shared(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, store: Stored) -> DataFrame:
+    """(cls, label, n, bound, asked) of sets (cls, tokens) that can have a link outside their label (cls, label).
+
+    bound is the number of tokens that sets under other labels have too. asked are the first of these, by how many
+    sets have them: two sets under different labels that link have one of their asked tokens in common.
+    """
     block = F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int")
     dealt = sets.select(block.alias("block"), "cls", "tokens").repartition(n_blocks, "block")
     told = labels.select(block.alias("block"), "cls", "label")
     sent = blocks.per_block(told, dealt, functools.partial(_send_tokens, parts=n_blocks), _MATRIX)
     shared = blocks.per_part(sent, _spread, _MATRIX)
     told = told.unionByName(shared.select("block", "keys", "labels"), allowMissingColumns=True)
-    asked = store(blocks.per_block(told, dealt, functools.partial(_ask, percent=percent), "cls long, label long, n long, bound long, asked array<long>"))
+    return store(blocks.per_block(told, dealt, functools.partial(_ask, percent=percent), "cls long, label long, n long, bound long, asked array<long>"))
+
+
+def _between(sets: DataFrame, labels: DataFrame, percent: int, n_blocks: int, store: Stored) -> DataFrame:
+    """Links between sets of different groups."""
+    asked = rarest_shared(sets, labels, percent, n_blocks, store)
 
     # pieces of groups: members of similar size, about PIECE of them. Small groups are gathered by the
     # token of theirs that most sets ask for, so that sets around one passage are few pieces

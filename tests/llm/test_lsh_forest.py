@@ -125,6 +125,40 @@ def test_sets_meet_in_blocks(spark):
         assert len(met - links) < 0.25 * (400 * 399 / 2 - len(links))
 
 
+def test_the_exact_join_lists_no_tokens_of_crowds(spark, monkeypatch):
+    """Of sets in crowds, only tokens that other components have too are rows, and only the rarest; pairs are those of brute force."""
+    rng = random.Random(10)
+    sets = []
+    for c in range(3):  # crowds with a third of their tokens in common
+        base = list(range(30)) + list(range(100 * (c + 1), 100 * (c + 1) + 60))
+        sets += [(c, sorted({t if rng.random() > 0.03 else rng.randrange(1000, 1 << 40) for t in base})) for _ in range(80)]
+    base = list(range(400, 490))
+    for i in range(60):  # sets of their own around one text, some of which link
+        sets.append((100 + i, sorted({t if rng.random() > rng.choice([0.02, 0.15]) else rng.randrange(1000, 1 << 40) for t in base})))
+    names = [i.to_bytes(16, "big") for i in range(len(sets))]
+    columns = "cls long, key binary, label binary, tokens binary"
+    rest = spark.createDataFrame([(7 * i, names[i], names[label], lf.words.mix(np.array(t, np.uint64)).tobytes()) for i, (label, t) in enumerate(sets)], columns)
+    rows = []
+
+    class Counted(lf.Stored):
+        def __call__(self, frame):
+            out = super().__call__(frame)
+            rows.append(out.count())
+            return out
+
+    store = Counted(spark)
+    rest = lf.Stored(spark)(rest)
+    where = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a][0] != sets[b][0]]
+    links = {(names[a], names[b]) for a, b in where if _links(set(sets[a][1]), set(sets[b][1]))}
+    assert len(links) > 100
+    for block in (lf.BLOCK, 25):
+        monkeypatch.setattr(lf, "BLOCK", block)
+        met = {(max(r.a, r.b), min(r.a, r.b)) for r in lf._prefix_pairs(rest, store, 80).collect()}
+        assert links <= {(bytes(a), bytes(b)) for a, b in met}
+        assert all(min(int.from_bytes(x, "big") for x in p) >= 240 for p in met)
+    assert max(rows) <= len(sets)  # no table has a row for each token of a set
+
+
 def _links(a, b):
     return 100 * len(a & b) >= 80 * len(a | b)
 
