@@ -8,14 +8,42 @@ and no frequent key gathers in one task. Answers go back to the block that asked
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 16 << 20
+#: Bytes of a batch that Spark hands to Python, about (a larger row is a batch of its own).
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches hold BATCH_BYTES at most, unless it has a limit of its own.
+
+    Spark's default limit is 10,000 rows, however long: a task then holds its whole split several times
+    over, in Arrow vectors outside the heap and in its Python worker, and neither gives all of it back.
+    """
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+    """The rows of a task in tables of ``most`` bytes or a batch more, as far as there are rows."""
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
 
 def pack(numbers: np.ndarray) -> bytes:

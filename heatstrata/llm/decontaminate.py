@@ -193,6 +193,7 @@ def leaks(
     are kept. An empty benchmark or table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    blocks.bound_batches(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     passes = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PASS_BYTES))

@@ -39,10 +39,10 @@ def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block for each batch: documents, and of each line with words the place, number, words and name."""
+    """Blocks of some batches: documents, and of each line with words the place, number, words and name."""
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        data, starts = words.text_bytes(batch.column("text"))
+    for table in blocks.gathered(batches):
+        data, starts = words.text_bytes(table["text"])
         firsts, numbers, sizes, names, at = [np.zeros(1, np.int64)], [], [], [], 0
         for _, part, begins in words.chunks(data, starts):
             found = words.find_words(part, begins)
@@ -59,7 +59,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = int(ends[-1]) if len(ends) else at
         first = np.concatenate(firsts)
         name = np.concatenate(names) if names else np.zeros(0, np.uint64)
-        doc = words.ids(batch.column("doc_id"))
+        doc = words.ids(table["doc_id"])
         counts = np.diff(first)
         index = np.arange(len(name))
         state = _pack(index, np.repeat(first[1:], counts), np.repeat(doc, counts), index - np.repeat(first[:-1], counts), name)
@@ -68,7 +68,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "block": pa.array([block], pa.int64()),
                 "n_active": pa.array([len(name)], pa.int64()),
                 "state": pa.array([state], pa.binary()),
-                "docs": pa.array([_pack(doc, np.asarray(batch.column("text_key").to_numpy(zero_copy_only=False), np.int64), counts)], pa.binary()),
+                "docs": pa.array([_pack(doc, table["text_key"].to_numpy().astype(np.int64, copy=False), counts)], pa.binary()),
                 "lines": pa.array([_pack(np.concatenate(numbers), np.concatenate(sizes)) if numbers else _pack(index, index)], pa.binary()),
             }
         )
@@ -197,6 +197,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
+    blocks.bound_batches(docs.sparkSession)
     store = Stored(docs.sparkSession)
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),

@@ -301,6 +301,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     are ignored.
     """
     spark = docs.sparkSession
+    blocks.bound_batches(spark)
     store = Stored(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = blocks.count_blocks(own, "text")

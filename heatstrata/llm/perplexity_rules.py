@@ -27,6 +27,8 @@ ORDER = 5
 UPPER, LOWER, SHORT = 16.0, 12.0, 300
 #: Texts that the quartiles are taken from, in bytes.
 MIN_CHARS = 200
+#: n-grams that a task lets wait, at least, until it adds them up.
+FOLD = 300_000
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -81,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch], languages: dict) -> Iterator[pa.Re
         for first, part, begins in words.chunks(data, starts):
             key, _ = _ngrams(part, begins, number[first : first + len(begins) - 1])
             waiting.append(np.unique(key, return_counts=True))
-            if sum(len(k) for k, _ in waiting) > 2_000_000:
+            if sum(len(k) for k, _ in waiting) > max(FOLD, len(keys)):
                 fold()
     fold()
     for a in range(0, len(keys), 100_000):
@@ -153,11 +155,9 @@ def _languages(docs: DataFrame) -> dict:
 
 
 def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each block in a batch as one compressed value."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch]).sort_by("block")
+    """The documents of each block in some batches as one compressed value."""
+    for table in blocks.gathered(batches):
+        table = table.sort_by("block")
         number = table["block"].to_numpy()
         begin = blocks.runs(number)
         packed = []
@@ -221,7 +221,7 @@ def _ask(block: int, packed: pa.Table, languages: dict, parts: int) -> pa.Table:
         data, starts = words.text_bytes(batch.column("text"))
         for first, part, begins in words.chunks(data, starts):
             waiting.append(np.unique(_ngrams(part, begins, number[first : first + len(begins) - 1])[0]))
-            if sum(map(len, waiting)) > 2_000_000:
+            if sum(map(len, waiting)) > max(FOLD, len(keys)):
                 keys, waiting = np.unique(np.concatenate([keys, *waiting])), []
     keys = np.unique(np.concatenate([keys, *waiting]))
     return _sent([(part, block, blocks.pack_sorted(keys[at]), None) for part, at in _parts(keys, parts)])
@@ -329,6 +329,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     A null language is a language of its own. Repeated rows are scored alike; null ids are kept; other
     columns are ignored; an empty table gives no rows.
     """
+    blocks.bound_batches(docs.sparkSession)
     store = Stored(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     languages, n = _languages(own), blocks.count_blocks(own, "text")
