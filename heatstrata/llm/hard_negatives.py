@@ -2,7 +2,8 @@
 
 1. Vectors are dealt to blocks by sort-tile-recursive packing: quantiles of one coordinate cut slabs,
    those of the next cut each slab. The cuts come from FIT_ROWS rows at most (the smallest hashes of
-   their ids), every row is indexed. A crowded cell, such as many equal vectors, is several blocks.
+   their ids) and are fitted in one task, every row is indexed. A crowded cell, such as many equal vectors,
+   is several blocks.
 2. Inside a block the same packing orders the rows into leaves of LEAF rows and nodes of FAN leaves, each
    with its bounding box over all coordinates and the label.
 3. A box and an anchor bound their inner product from both sides, coordinate by coordinate. Each anchor
@@ -11,6 +12,8 @@
 4. Anchors go in batches to groups of blocks. Blocks are searched in rounds, each with eight times as many
    as all before; a later round knows the k-th scores of the earlier ones, so a task sends on little more
    than what may still count. Windows with a limit merge what is found.
+5. The driver gets the cuts and a count for each cell, no vectors, and broadcasts no table: Spark would
+   choose by the size of the files, which hold vectors and windows in a small part of the memory they take.
 
 Anchors: rows whose vec_id a modulus divides. Positives: the first few other rows of the same label.
 Negatives: rows of other labels whose score lies in a window that the positive's score sets.
@@ -92,6 +95,13 @@ class Cuts:
             members = parts
         self.cells = len(members)
 
+    @classmethod
+    def of(cls, levels: list[tuple[int, np.ndarray]]) -> Cuts:
+        """Cuts that were fitted before."""
+        cuts = cls(np.zeros((0, 1)), 1)
+        cuts.levels, cuts.cells = levels, math.prod(x.shape[1] + 1 for _, x in levels)
+        return cuts
+
     def cell(self, vectors: np.ndarray) -> np.ndarray:
         at = np.zeros(len(vectors), np.int64)
         for coordinate, cuts in self.levels:
@@ -99,6 +109,18 @@ class Cuts:
         return at
 
 
+def _fit(batches: Iterator[pa.RecordBatch], width: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The cuts for all the vectors of a task, a row for each level."""
+    sample = [_matrix(batch.column("vector"), width) for batch in batches]
+    levels = Cuts(np.concatenate(sample), cells).levels if sample else []
+    yield pa.record_batch(
+        {
+            "level": pa.array(range(len(levels)), pa.int32()), "coordinate": pa.array([c for c, _ in levels], pa.int32()),
+            "slabs": pa.array([len(x) for _, x in levels], pa.int32()), "cuts": pa.array([pack(x) for _, x in levels], pa.binary()),
+        }
+    )
+
+
 def _deal(batches: Iterator[pa.RecordBatch], cuts: Cuts, width: int, first: np.ndarray | None, salts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Adds the cell of each row, or its block when cells are known to have several."""
     for batch in batches:
@@ -266,9 +288,10 @@ class Index:
         size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
         self.n, self.width = size[0], max(1, size[1] or 0)
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        sample = rows.orderBy(F.xxhash64("vec_id", "label"), "vec_id").limit(FIT_ROWS).select("vector").toArrow()["vector"]
         wanted = max(1, min(max(partitions, math.ceil(self.n / BLOCK_ROWS)), CELLS, self.n // 32))
-        cuts = Cuts(_matrix(sample, self.width), wanted)
+        sample = rows.orderBy(F.xxhash64("vec_id", "label"), "vec_id").limit(FIT_ROWS).select("vector").coalesce(1)
+        levels = sample.mapInArrow(functools.partial(_fit, width=self.width, cells=wanted), "level int, coordinate int, slabs int, cuts binary").collect()
+        cuts = Cuts.of([(r.coordinate, unpack(bytes(r.cuts), np.float64).reshape(r.slabs, -1)) for r in sorted(levels, key=lambda r: r.level)])
         schema = f"{_schema(rows)}, block long"
         dealt = functools.partial(_deal, cuts=cuts, width=self.width)
         counts = dict(rows.mapInArrow(functools.partial(dealt, first=None, salts=None), schema).groupBy("block").count().collect())
@@ -297,17 +320,19 @@ class Index:
             known = windows.withColumn("known", F.lit(None).cast("long"))
             if found is not None:
                 full = found.groupBy(*key).agg(F.when(F.count("*") >= k, F.min("score")).alias("known"))
-                known = windows.join(full, key, "left")
+                known = _joined(windows, full, key, "left")
             listed = known.groupBy("block", "at").agg(F.array_sort(F.collect_list(F.struct("slot", "low", "high", "known"))).alias("windows"))
             kinds = "array<array<struct<slot:int,low:long,high:long,known:long>>>"
             schema = f"batch long, block binary, at binary, anchor_id binary, label binary, kind string, vectors binary, windows {kinds}"
-            packed = anchors.join(listed, ["block", "at"]).groupBy("batch").applyInArrow(lambda t: _pack_batch(t, width), schema)
+            packed = _joined(anchors, listed, ["block", "at"]).groupBy("batch").applyInArrow(lambda t: _pack_batch(t, width), schema)
             # Which blocks a round takes is a fixed shuffle of their numbers, so early rounds see all regions.
             rank = F.pmod(F.col("block") * _coprime(self.count), F.lit(self.count))
             here = self.blocks.where((rank >= lo) & (rank < hi))
-            groups = max(math.ceil((min(hi, self.count) - lo) / GROUP), min(self.partitions, self.count))
+            blocks = min(hi, self.count) - lo
+            groups = max(math.ceil(blocks / GROUP), min(self.partitions, blocks))
             trees = here.select((rank % groups).alias("group"), *[F.col(c).alias(f"t_{c}") for c in here.columns])
-            pairs = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(trees, "group").drop("group", "batch")
+            grouped = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+            pairs = _joined(grouped, trees, ["group"]).drop("group", "batch")
             new = pairs.mapInArrow(functools.partial(_search_pairs, width=self.width, same=same, k=k), _FOUND)
             both = new if found is None else new.unionByName(found)
             found = self.store(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
@@ -315,6 +340,11 @@ class Index:
         return found.withColumn("rank", F.row_number().over(best))
 
 
+def _joined(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """A join without a broadcast, whatever the session's threshold and the size of the files."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def _schema(rows: DataFrame) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
 
@@ -347,5 +377,5 @@ def hard_negatives(
     low, high = (F.expr(f"CAST({f}(CAST(positive_score AS DECIMAL(24,0)) * {p} / 100) AS LONG)") for f, p in (("ceil", percent[0]), ("floor", percent[1])))
     windows = own.select("block", "at", "slot", low.alias("low"), high.alias("high")).where("low <= high")
     others = index.first(anchors, windows, False, negatives)
-    done = others.join(own, ["block", "at", "slot"])
+    done = _joined(others, own, ["block", "at", "slot"])
     return done.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,34 @@ def test_search_opens_few_boxes(monkeypatch):
     hn._search(tree, anchor[0], 0, True, 5, (node[0][0], node[1][0], leaf[0][0], leaf[1][0]), [best])
     expect = sorted(((-s, i) for i, s in enumerate(vectors @ anchor[0]) if i != 5))[:5]
     assert [(-s, i) for s, i in zip(best.scores, best.ids)] == expect and sum(opened) <= 512
+
+
+def test_no_vectors_reach_the_driver(spark, monkeypatch):
+    """The cuts are fitted in a task and no plan broadcasts, though all files are far below the threshold."""
+    fetched, plans = [], []
+    plan_of = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+
+    class Watched(hn.Stored):
+        def __call__(self, frame):
+            plans.append(plan_of(frame))
+            return super().__call__(frame)
+
+    kind = type(spark.range(0))
+    collect = kind.collect
+    monkeypatch.setattr(hn, "Stored", Watched)
+    monkeypatch.setattr(kind, "toArrow", lambda frame: pytest.fail("rows as Arrow in the driver"))
+    monkeypatch.setattr(kind, "collect", lambda frame: (fetched.append(frame.schema), collect(frame))[1])
+    plans.append(plan_of(hn.hard_negatives(spark.createDataFrame(cloud(600), SCHEMA))))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+    assert fetched and not any("array" in s.simpleString() for s in fetched)
+
+
+def test_cuts_of_a_task_are_those_of_its_rows():
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(500, 5))
+    parts = [pa.record_batch({"vector": pa.array(list(v), pa.list_(pa.float64()))}) for v in (vectors[:200], vectors[200:])]
+    rows = [r for b in hn._fit(iter(parts), 5, 64) for r in b.to_pylist()]
+    levels = [(r["coordinate"], hn.unpack(r["cuts"], np.float64).reshape(r["slabs"], -1)) for r in rows]
+    fitted, whole = hn.Cuts.of(levels), hn.Cuts(vectors, 64)
+    assert fitted.cells == whole.cells and (fitted.cell(vectors) == whole.cell(vectors)).all()
+    assert hn.Cuts.of([]).cells == 1 and not [r for b in hn._fit(iter([]), 5, 64) for r in b.to_pylist()]
